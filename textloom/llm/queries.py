@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from textloom.llm import vertical
 from textloom.llm.distinctive import joint_counts, most_distinctive, pmi_weights
 from textloom.llm.encode import with_ids
+from textloom.llm.lookalike import form_keys, learn_rules, with_forms
+from textloom.llm.lshforest import NearDuplicates, near_duplicates
+from textloom.llm.pairs import group_pairs
 from textloom.llm.sql import SQL  # noqa: F401 - read by __spark_entry__
 from textloom.llm.topn import top_n
 from textloom.session import spread, table, written
@@ -15,6 +18,46 @@ from textloom.session import spread, table, written
 RARE_BELOW, COMMON_ABOVE = 3, 0.2
 
 
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "dump_article").select("page_id", "title", "text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles whose titles or texts look the same but are different strings."""
+    articles = _articles(spark, sf_dir)
+    keys = written(form_keys(articles, "page_id", ["title", "text"], learn_rules(articles, ["title", "text"])), "forms").distinct()
+    # Forms that stand for several strings; then pairs of strings, then the articles that hold them.
+    several = keys.groupBy("field", "form_key").agg(F.min("string_key").alias("x"), F.max("string_key").alias("y")).filter("x <> y").select("field", "form_key")
+    held = keys.join(several, ["field", "form_key"]).withColumn("g", F.struct("field", "form_key"))
+    held = written(held, "held")
+    apart = group_pairs(held.select("g", "string_key").distinct(), "g", "string_key")
+    side = lambda s, k: held.select("g", F.col("string_key").alias(s), F.col("page_id").alias(k))
+    met = apart.join(side("a", "p"), ["g", "a"]).join(side("b", "q"), ["g", "b"]).filter("p <> q")
+    return met.select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"), F.col("g.field").alias("field")).distinct()
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and text of every article in their consistent form."""
+    articles = _articles(spark, sf_dir)
+    return with_forms(articles, ["title", "text"], learn_rules(articles, ["title", "text"]), ["page_id"]).distinct()
+
+
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    articles = _articles(spark, sf_dir)
+    rules = learn_rules(articles, ["title", "text"])
+    return near_duplicates(articles, "page_id", ["title", "text"], rules, size=3, threshold=0.5, min_words=20)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles of at least 20 words with at least half of their sets of three words in common."""
+    return _near(spark, sf_dir).pairs().select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per article of at least 20 words: its group of near-duplicates and its number of links."""
+    return _near(spark, sf_dir).groups().withColumnRenamed("key", "page_id")
+
+
 def _article_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vertical.of_texts(spread(table(spark, sf_dir, "dump_article").select("page_id", "text")), "page_id", "text")
     freq = written(vertical.frequencies(found), "frequencies")
@@ -76,8 +119,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_forms": p1_forms,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p5_ranked": p5_ranked,
     "p7_found": p7_found,
