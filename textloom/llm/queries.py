@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm import vertical
 from textloom.llm.distinctive import joint_counts, most_distinctive, pmi_weights
-from textloom.llm.encode import with_ids
+from textloom.llm.encode import with_ids, with_sizes
 from textloom.llm.lookalike import form_keys, learn_rules, with_forms
 from textloom.llm.lshforest import NearDuplicates, near_duplicates
+from textloom.llm.mixing import Mixture, mix
 from textloom.llm.pairs import group_pairs
 from textloom.llm.sql import SQL  # noqa: F401 - read by __spark_entry__
 from textloom.llm.topn import top_n
@@ -118,6 +119,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text").filter(F.col("source").isNotNull()))
+    return mix(with_sizes(documents, keep=("doc_id", "source")), table(spark, sf_dir, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixture(spark, sf_dir).copies.select("doc_id", "source", "copies")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mixture(spark, sf_dir).report
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
@@ -130,4 +146,6 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_ppmi": p7_ppmi,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
