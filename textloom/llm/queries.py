@@ -12,6 +12,7 @@ from textloom.llm.lookalike import form_keys, learn_rules, with_forms
 from textloom.llm.lshforest import NearDuplicates, near_duplicates
 from textloom.llm.mixing import Mixture, mix
 from textloom.llm.pairs import group_pairs
+from textloom.llm.pii import personal_items, sanitised
 from textloom.llm.sql import SQL  # noqa: F401 - read by __spark_entry__
 from textloom.llm.topn import top_n
 from textloom.session import spread, table, written
@@ -134,6 +135,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "name_list"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different personal item of a document, as it stands in the text."""
+    return _items(spark, sf_dir).select("doc_id", "kind", "found").distinct()
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of its personal items."""
+    return sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"), _items(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
@@ -148,4 +163,6 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_clean": p10_clean,
 }
