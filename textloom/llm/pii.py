@@ -296,8 +296,9 @@ def items(found: DataFrame, names: DataFrame) -> DataFrame:
     named = spans.filter("kind = 'name'").join(has["given"], "given", "left").join(has["family"], "family", "left")
     known = named.withColumn("sure", F.coalesce("is_given", F.lit(False)).cast("int") + F.coalesce("is_family", F.lit(False)).cast("int"))
     rest = spans.filter("kind <> 'name'").withColumn("sure", F.when(F.col("strong"), 2).otherwise(0))
-    # Behind a comma stands more than given names; there both parts must be known.
-    known = known.filter("not back or sure = 2")
+    # Behind a comma stands more than given names: what overlaps a known name in the other order isn't one.
+    forward = known.filter("not back and sure = 2").select(F.col("doc_id").alias("d"), F.col("start").alias("x"), F.col("end").alias("y"))
+    known = known.filter("not back").unionByName(known.filter("back").join(forward, F.expr("doc_id = d and start < y and x < end"), "left_anti"))
     columns = ["doc_id", "start", "end", "kind", "found", "sure", "frame1", "frame2"]
     scored = written(known.select(*columns).unionByName(rest.select(*columns)), "scored")
     # How strongly each frame reveals an item of the kind, over all candidates of the kind.
