@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from textloom.operators.skew import lookup_join
 from textloom.session import written
 
-#: Thresholds of disclosure: a term's probability, its information in bits, and the occurrences it must have.
-NAME_PART_P, NAME_PART_BITS = 0.25, 2.0
+#: Thresholds of disclosure: a term's probability, its information in bits, and its different partners; a frame's probability and occurrences.
+NAME_PART_P, NAME_PART_BITS, NAME_PART_PARTNERS = 0.25, 2.0, 2
 FRAME_P, FRAME_SUPPORT = 0.5, 3
 #: Where neither part of a name is known, the frame must say more.
 BARE_FRAME_P, BARE_FRAME_SUPPORT = 0.75, 5
@@ -220,7 +220,7 @@ CANDIDATES = "doc_id long, start int, end int, kind string, found string, strong
 
 
 def candidates(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One pass over the texts: candidates, and rows of kind 'word' that count capitalised words per task."""
+    """One pass over the texts: candidates, and rows of kind 'word' that count words per task, case aside."""
     listed = names.select("name", "role").dropna().limit(MOST_LISTED + 1).collect()
     if len(listed) > MOST_LISTED:
         raise ValueError(f"more than {MOST_LISTED} listed names")
@@ -242,7 +242,7 @@ def candidates(documents: DataFrame, names: DataFrame, key: str = "doc_id", text
                 s = t.as_py()
                 if not s or k is None:
                     continue
-                words.update(w.casefold() for w in word.findall(s) if w[0].isupper())
+                words.update(word.findall(s.casefold()))
                 for a, b, kind, strong, g, f, back in scan(s, given, family):
                     rows.append((k, a, b, kind, s[a:b], strong, g, f, back, *frames(s, a, b), None))
                 if len(rows) > 20_000:
@@ -262,8 +262,8 @@ def name_parts(found: DataFrame, names: DataFrame) -> DataFrame:
 
     Evidence for a given name is a word that stands before a listed family name, without
     comma; for a family name, a word behind a listed given name. p is the share of the
-    word's capitalised occurrences with such evidence, bits its information against the
-    share of all capitalised words.
+    word's occurrences, in any case, with such evidence, bits its information against the share of
+    all words. A word with a single partner isn't learned.
     """
     listed = names.select(F.lower("name").alias("part"), "role").dropna().distinct()
     words = found.filter("kind = 'word'").groupBy(F.col("found").alias("part")).agg(F.sum("n").alias("n"))
@@ -274,11 +274,11 @@ def name_parts(found: DataFrame, names: DataFrame) -> DataFrame:
     for part, other, role, other_role in (("given", "family", "given", "family"), ("family", "given", "family", "given")):
         # Words are counted first, so that a frequent one is one row in what follows.
         counts = straight.groupBy(part, other).agg(F.count(F.lit(1)).alias("c"))
-        evidence = counts.join(known(other_role, other), other, "left_semi").groupBy(F.col(part).alias("part")).agg(F.sum("c").alias("e"))
+        evidence = counts.join(known(other_role, other), other, "left_semi").groupBy(F.col(part).alias("part")).agg(F.sum("c").alias("e"), F.count(F.lit(1)).alias("partners"))
         base = evidence.agg(F.sum("e").alias("all"))
         scored = evidence.join(words, "part").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(base))
         p = F.least(F.lit(1.0), F.col("e") / F.col("n"))
-        kept = scored.filter((p >= NAME_PART_P) & (F.log2(p / (F.col("all") / F.col("total"))) >= NAME_PART_BITS)).select("part", F.lit(role).alias("role"))
+        kept = scored.filter((p >= NAME_PART_P) & (F.col("partners") >= NAME_PART_PARTNERS) & (F.log2(p / (F.col("all") / F.col("total"))) >= NAME_PART_BITS)).select("part", F.lit(role).alias("role"))
         learned = kept if learned is None else learned.unionByName(kept)
     return listed.unionByName(learned).distinct()
 
