@@ -18,8 +18,13 @@ from textloom.functions import bm25
 from textloom.functions.analysis import analyze, terms
 from textloom.operators.blocks import BLOCK, HEADER, block_sizes, numbered
 from textloom.operators.index import Index
+from textloom.session import written
 
 EXECUTORS = ("exhaustive", "pruned")
+#: Up to so many (query, term) rows, the plan of all queries is sent to every executor; beyond, it is joined by shuffles.
+MOST_PLAN = 1_000_000
+#: Documents of a group that scores are summed up for at once: between 2**10 and 2**16.
+GROUP_BITS = (10, 16)
 #: Rounding slack of the pruning bound: bounds are summed in another order than scores.
 SLACK = 1e-12
 
@@ -57,6 +62,76 @@ def ranked(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _group_best(offsets: np.ndarray, used: np.ndarray, mask: int, k: int, margin: float):
+    """What a task does for a group of documents: scores of all queries, and each query's k best."""
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        group = int(table.column("g")[0].as_py())
+        number, doc, c = (np.asarray(table.column(x)) for x in ("number", "doc_id", "c"))
+        order = np.argsort(number, kind="stable")
+        number, place, c = number[order], (doc[order] & mask).astype(np.int64), c[order]
+        heads = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        ends = np.append(heads[1:], len(number))
+        lists = {int(number[a]): (place[a:b], c[a:b]) for a, b in zip(heads.tolist(), ends.tolist(), strict=True)}
+        total = np.zeros(mask + 1)
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for q in range(len(offsets) - 1):
+            own = [lists[t] for t in used[offsets[q] : offsets[q + 1]].tolist() if t in lists]
+            if not own:
+                continue
+            # Lists come in ascending order of the terms, and a document is once in a list: the order of sums is kept.
+            for at, add in own:
+                total[at] += add
+            held = own[0][0] if len(own) == 1 else np.unique(np.concatenate([at for at, _ in own]))
+            score = total[held]
+            total[held] = 0.0
+            if len(held) > k:
+                keep = score >= np.partition(score, len(score) - k)[len(score) - k] - margin
+                held, score = held[keep], score[keep]
+            found.append((q, held, score))
+        size = [len(h) for _, h, _ in found]
+        queries = np.repeat(np.array([q for q, _, _ in found], np.int64), size)
+        docs = np.concatenate([h for _, h, _ in found]) + group * (mask + 1) if found else np.zeros(0, np.int64)
+        return pa.table({"number": pa.array(queries), "doc_id": pa.array(docs.astype(np.int64)), "score": pa.array(np.concatenate([s for _, _, s in found]) if found else np.zeros(0))})
+
+    return run
+
+
+def dense_best(index: Index, plan: DataFrame, k: int, digits: int | None = None) -> DataFrame | None:
+    """(query_id, doc_id, score) with at least the k best documents of each query, or None if the plan is too large.
+
+    Contributions don't depend on the query, so they are computed once per posting, in the JVM.
+    Postings of the asked terms are shuffled by groups of neighbouring documents; within a group,
+    scores of each query are summed in an array, term after term in ascending order, and only its k
+    best leave the task (all of equal score). A group has at most 65,536 documents.
+    """
+    rows = plan.select("query_id", "term").limit(MOST_PLAN + 1).toPandas()
+    if len(rows) > MOST_PLAN:
+        return None
+    spark = index.documents.sparkSession
+    id_type = plan.schema["query_id"].dataType.simpleString()
+    if rows.empty:
+        return spark.createDataFrame([], f"query_id {id_type}, doc_id long, score double")
+    words = sorted(set(rows["term"]), key=lambda t: t.encode())
+    number = {t: i for i, t in enumerate(words)}
+    codes, names = pd.factorize(rows["query_id"])
+    terms_ = rows["term"].map(number).to_numpy()
+    order = np.lexsort((terms_, codes))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(names)))))
+    asked = spark.createDataFrame(list(enumerate(words)), "number int, term string")
+    weights = plan.groupBy("term").agg(F.first("idf").alias("idf"), F.first("average").alias("average")).join(F.broadcast(asked), "term")
+    met = index.postings.select("term", "doc_id", "tf", "length").join(F.broadcast(weights), "term")
+    biggest = index.documents.agg(F.max("doc_id").alias("m")).first().m or 0
+    wanted = max(1, (biggest + 1) // (4 * spark.sparkContext.defaultParallelism))
+    bits = min(max(wanted.bit_length() - 1, GROUP_BITS[0]), GROUP_BITS[1])
+    parts = met.select(F.shiftright("doc_id", bits).alias("g"), "number", "doc_id", bm25.score(F.col("idf"), F.col("tf"), F.col("length"), F.col("average")).alias("c"))
+    margin = 0.0 if digits is None else 2.0 * 10.0**-digits
+    best = parts.groupBy("g").applyInArrow(_group_best(offsets, terms_[order], (1 << bits) - 1, k, margin), "number long, doc_id long, score double")
+    ids = spark.createDataFrame([(i, x) for i, x in enumerate(names.tolist())], f"number long, query_id {id_type}")
+    return best.join(F.broadcast(ids), "number").select("query_id", "doc_id", "score")
+
+
 def pruned_parts(index: Index, plan: DataFrame, k: int) -> DataFrame:
     """Contributions of documents that may be among the k best of their query.
 
@@ -85,7 +160,9 @@ def search(index: Index, queries: DataFrame, k: int = 10, executor: str = "exhau
         raise ValueError(f"unknown executor {executor!r}")
     plan = query_plan(index, prepared(queries, index.profile, key, text))
     if executor == "exhaustive":
-        scores = scored(contributions(index, plan))
+        plan = written(plan, "plan")
+        scores = dense_best(index, plan, max(k, 1), digits)
+        scores = scored(contributions(index, plan)) if scores is None else scores
     else:
         scores = pruned_parts(index, plan, max(k, 1)).select("query_id", "doc_id", bm25.in_order(F.col("_p")).alias("score"))
     return resolve(index, ranked(scores, k, digits))
