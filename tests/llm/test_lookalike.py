@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from textloom.llm import lookalike as L
 from textloom.llm.pairs import group_pairs
 
-LATIN = tuple(sorted(L.rewriting({" ": 1000, **{chr(c): 100 for c in range(33, 127)}}).items()))
-CYRILLIC = tuple(sorted(L.rewriting({" ": 1000, **{c: 100 for c in "аеосрхАВЕКМНОРСТХ"}, " ": 5}).items()))
+LATIN = L.rewriter(tuple(sorted(L.rewriting({" ": 1000, **{chr(c): 100 for c in range(33, 127)}}).items())))
+CYRILLIC = L.rewriter(tuple(sorted(L.rewriting({" ": 1000, **{c: 100 for c in "аеосрхАВЕКМНОРСТХ"}, " ": 5}).items())))
 
 SAME = [("Ｆｕｌｌ　ｗｉｄｔｈ", "Full width"), ("ﬁn ﬂat ﬀ", "fin flat ff"), ("Café", "Café"), ("no break thin", "no break thin"), ("a‑b‐c－d", "a-b-c-d"), ("ze​ro­﻿", "zero"), ("Москва сор", "Mocквa cop"), ("е‍́", "é"), ("Ⅲ ⅳ", "III iv"), ("K", "K"), ("օԁԛ", "odq"), ("ά", "ά"), ("a\r\nb", "a\nb"), ("ộ", "ộ"), ("㎏", "kg"), ("ǆ", "dž")]
 APART = ["A a", "é e", "ß ss", "ø o", "ł l", "² 2", "⑩ 10", "— -", "a  b a b", "l I", "0 O", "1 l", "\n  "]

@@ -12,6 +12,7 @@ form stood between them or the letter came from another alphabet.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -139,35 +140,48 @@ def rewriting(counts: dict[str, int]) -> dict[str, str]:
     return {x: r for x, r in chosen.items() if x != r}
 
 
-@lru_cache(maxsize=4)
-def _automaton(rules: tuple[tuple[str, str], ...]):
-    import ahocorasick
+class _Rewriter:
+    """The automaton of the rules. Its first level, the patterns of one sign, is kept as a table, which
+    is all that a text without a longer pattern needs."""
+
+    def __init__(self, rules: tuple[tuple[str, str], ...]) -> None:
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for pattern, to in rules:
+            self.automaton.add_word(pattern, (len(pattern), to))
+        self.automaton.make_automaton()
+        self.table = str.maketrans({p: to for p, to in rules if len(p) == 1})
+        longer = sorted(p for p, _ in rules if len(p) > 1)
+        self.longer = re.compile("|".join(map(re.escape, longer))) if longer else None
+        plain = {p[0] for p, _ in rules if p[0].isascii()}
+        self.plain = re.compile("[" + "".join(map(re.escape, sorted(plain))) + "]") if plain else None
+
+    def __call__(self, text: str) -> str:
+        if text.isascii() and (self.plain is None or not self.plain.search(text)):
+            return text
+        if self.longer is None or not self.longer.search(text):
+            return text.translate(self.table)
+        out, at = [], 0
+        for end, (size, to) in self.automaton.iter_long(text):
+            out.append(text[at : end + 1 - size])
+            out.append(to)
+            at = end + 1
+        out.append(text[at:])
+        return "".join(out)
+
 
-    found = ahocorasick.Automaton()
-    for pattern, to in rules:
-        found.add_word(pattern, (len(pattern), to))
-    found.make_automaton()
-    # ASCII texts without a pattern are their own form.
-    begins = {p[0] for p, _ in rules if p.isascii()}
-    plain = "".join(chr(i) for i in range(128) if chr(i) not in begins)
-    return found, str.maketrans("", "", plain)
+@lru_cache(maxsize=4)
+def rewriter(rules: tuple[tuple[str, str], ...]) -> _Rewriter:
+    """The rewriter of some thousand rules; a task looks it up once."""
+    return _Rewriter(rules)
 
 
-def consistent(text: str | None, rules: tuple[tuple[str, str], ...]) -> str | None:
+def consistent(text: str | None, rewrite: _Rewriter) -> str | None:
     """The consistent form of a text; null stays null, an empty text empty."""
     if text is None:
         return None
-    automaton, strip = _automaton(rules)
-    if text.isascii() and not text.translate(strip):
-        return text
-    text = unicodedata.normalize("NFD", text)
-    out, at = [], 0
-    for end, (size, to) in automaton.iter_long(text):
-        out.append(text[at : end + 1 - size])
-        out.append(to)
-        at = end + 1
-    out.append(text[at:])
-    return unicodedata.normalize("NFC", "".join(out))
+    return rewrite(text) if text.isascii() else unicodedata.normalize("NFC", rewrite(unicodedata.normalize("NFD", text)))
 
 
 def sign_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
@@ -198,8 +212,9 @@ def with_forms(df: DataFrame, columns: list[str], rules: tuple[tuple[str, str],
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + "".join(f", `{c}` string" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite = rewriter(rules)
         for batch in batches:
-            forms = [pa.array([consistent(t.as_py(), rules) for t in batch.column(c)], pa.string()) for c in columns]
+            forms = [pa.array([consistent(t, rewrite) for t in batch.column(c).to_pylist()], pa.string()) for c in columns]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *forms], names=[*keep, *columns])
 
     return df.select(*keep, *columns).mapInArrow(run, schema)
@@ -218,14 +233,14 @@ def form_keys(df: DataFrame, key: str, columns: list[str], rules: tuple[tuple[st
         return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite = rewriter(rules)
         for batch in batches:
             for column in columns:
                 keys, forms, strings = [], [], []
-                for k, t in zip(batch.column(key).to_pylist(), batch.column(column), strict=True):
-                    text = t.as_py()
+                for k, text in zip(batch.column(key).to_pylist(), batch.column(column).to_pylist(), strict=True):
                     if text is None or k is None or not any(map(str.isalnum, text)):
                         continue
-                    form = consistent(text, rules)
+                    form = consistent(text, rewrite)
                     keys.append(k)
                     strings.append(own := digest(text))
                     forms.append(own if form == text else digest(form))
