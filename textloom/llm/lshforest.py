@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import terms_of
-from textloom.llm.lookalike import consistent
+from textloom.llm.lookalike import consistent, rewriter
 from textloom.llm.pairs import group_pairs
 from textloom.session import written
 
@@ -69,8 +69,9 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     """The 256 min-hashes of 32 bits of a non-empty set."""
     out = np.full(VALUES, np.uint64(2**64 - 1))
     for at in range(0, len(hashes), 4096):
+        # The hashes are mixed already; of a product, the upper half is as good as a new hash.
         part = hashes[at : at + 4096, None] * _A[None, :] + _B[None, :]
-        np.minimum(out, _finish(part).min(axis=0), out=out)
+        np.minimum(out, part.min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -91,12 +92,13 @@ def features(df: DataFrame, key: str, columns: list[str], size: int, min_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        rewrite = rewriter(rules)
         names = ["key", "digest", "n", "hashes", "prefix", "sketch"]
         types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
-            for i, k in enumerate(batch.column(key).to_pylist()):
-                words = terms_of(" ".join(consistent(batch.column(c)[i].as_py(), rules) or "" for c in columns))
+            for k, *texts in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+                words = terms_of(" ".join(consistent(t, rewrite) or "" for t in texts))
                 if k is None or len(words) < max(min_words, size):
                     continue
                 s = shingles(words, size, known)
