@@ -47,6 +47,10 @@ EMAIL = re.compile(
     re.I,
 )
 
+#: Cheap signs that a text may hold an item of a kind; without them its patterns aren't tried.
+EMAIL_GATE = re.compile(r"@|[\[(]\s?at\s?[\])]| at \S+(?: dot \S+)* dot ", re.I)
+PHONE_GATE = re.compile(r"\+\d|(?<!\d)00[1-9]|\d[ \xa0.\-/)] ?\d|\d{9}")
+ID_GATE = re.compile(r"\d{6}|\d{3}[- ]\d\d[- ]\d|[A-Z]{2} ?\d\d ?\d\d")
 #: National digits behind a country code; codes not listed have 7 to 12.
 _NATIONAL = {"1": (10, 10), "7": (10, 10), "33": (9, 9), "34": (9, 9), "44": (10, 10), "49": (7, 12)}
 _INTERNATIONAL = re.compile(r"(?<![\w+.])(?:\+|00(?=[1-9]))([1-9]\d{0,14})")
@@ -99,10 +103,24 @@ WEAK_ADDRESSES = [
     re.compile(rf"(?<![\w.,\-/])\d{{1,3}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}}"),
 ]
 
+def _upper_class() -> str:
+    """The upper-case letters as a character class, by rule."""
+    codes = [i for i in range(0x10000) if chr(i).isupper()]
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
+_UP = _upper_class()
 _WORD = r"[^\W\d_]+(?:[’'\-][^\W\d_]+)*"
+_CAPITAL_WORD = rf"{_UP}[^\W\d_]*(?:[’'\-][^\W\d_]+)*"
 _GAP = r"[ \xa0  ]{1,2}"
-NAME = re.compile(rf"(?<![\w@#.\-’'])(?=({_WORD}){_GAP}((?:[^\W\d_]\.{_GAP})*)({_WORD})(?![\w@]))", re.U)
-NAME_BACK = re.compile(rf"(?<![\w@#.\-’'])(?=({_WORD}), ?({_WORD})((?:{_GAP}[^\W\d_]\.)*)(?![\w@]))", re.U)
+NAME = re.compile(rf"(?<![\w@#.\-’'])(?=({_CAPITAL_WORD}){_GAP}((?:[^\W\d_]\.{_GAP})*)({_CAPITAL_WORD})(?![\w@]))", re.U)
+NAME_BACK = re.compile(rf"(?<![\w@#.\-’'])(?=({_CAPITAL_WORD}), ?({_CAPITAL_WORD})((?:{_GAP}[^\W\d_]\.)*)(?![\w@]))", re.U)
 #: Forms of address are no parts of names (fixed values).
 TITLES = frozenset("mr mrs ms miss dr prof sir don doña herr herrn frau mme mlle madame monsieur sr sra señor señora m".split())
 _POSSESSIVE = re.compile(r"['’]s?$", re.I)
@@ -164,7 +182,7 @@ def scan(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple
         out.append((a, b, kind, strong, None, None, False))
         taken.append((a, b))
 
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if EMAIL_GATE.search(text) else ():
         take(m.start(), m.end(), "email", True)
     digits = any(map(str.isdigit, text))
     if digits:
@@ -172,7 +190,8 @@ def scan(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple
             for m in pattern.finditer(text):
                 if free(m.start(), m.end()):
                     take(m.start(), m.end(), "address", True)
-        for pattern, sure in [*((p, True) for p in IDS), (WEAK_ID, False)]:
+        ids, phones = ID_GATE.search(text) is not None, PHONE_GATE.search(text) is not None
+        for pattern, sure in [*((p, True) for p in IDS), (WEAK_ID, False)] if ids else ():
             for m in pattern.finditer(text):
                 left = text[max(0, m.start() - 48) : m.start()].rpartition("\n")[2]
                 if not free(m.start(), m.end()):
@@ -183,11 +202,11 @@ def scan(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple
                     labelled = ID_LABEL.search(left) is not None
                     if sure or labelled:
                         take(m.start(), m.end(), "id_number", True)
-        for a, b in sorted(_phones(text), key=lambda x: (x[0], -x[1])):
+        for a, b in sorted(_phones(text), key=lambda x: (x[0], -x[1])) if phones else ():
             if free(a, b) and not THING.search(text[max(0, a - 16) : a]):
                 take(a, b, "phone", True)
-        for pattern, kind in ((WEAK_PHONE, "phone"), (WEAK_ID, "id_number")):
-            for m in pattern.finditer(text):
+        for pattern, kind, gate in ((WEAK_PHONE, "phone", phones), (WEAK_ID, "id_number", ids)):
+            for m in pattern.finditer(text) if gate else ():
                 if not THING.search(text[max(0, m.start() - 16) : m.start()]) and free(m.start(), m.end()):
                     out.append((m.start(), m.end(), kind, False, None, None, False))
     for pattern, back in ((NAME, False), (NAME_BACK, True)):
@@ -238,8 +257,7 @@ def candidates(documents: DataFrame, names: DataFrame, key: str = "doc_id", text
         words: Counter[str] = Counter()
         for batch in batches:
             rows: list[tuple] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = t.as_py()
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not s or k is None:
                     continue
                 words.update(word.findall(s.casefold()))
