@@ -27,4 +27,8 @@ def terms_of(text: str | None) -> list[str]:
     """The same in Python, for the Arrow operators."""
     if not text:
         return []
-    return [t.replace("’", "'").lower() for t in PY_TERM.findall(text)]
+    if "İ" in text or "Σ" in text:
+        # Lower-cased, one grows by a mark and the other depends on what stands beside it: cut first.
+        return [t.replace("’", "'").lower() for t in PY_TERM.findall(text)]
+    text = text.lower()
+    return PY_TERM.findall(text.replace("’", "'") if "’" in text else text)
