@@ -36,7 +36,7 @@ SKETCH_BYTES = VALUES // 8
 _rng = np.random.default_rng(20240)
 _A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
-_MIX = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -59,10 +59,10 @@ def shingles(words: list[str], size: int, known: dict[str, int]) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for j in range(size):
-        total = _finish(total + h[j : j + n] * _MIX[j])
-    return np.unique(total)
+    total = h[:n] * _MIX[0]
+    for j in range(1, size):
+        total += h[j : j + n] * _MIX[j]
+    return np.unique(_finish(total))
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
