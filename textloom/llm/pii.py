@@ -48,9 +48,9 @@ EMAIL = re.compile(
 )
 
 #: Cheap signs that a text may hold an item of a kind; without them its patterns aren't tried.
-EMAIL_GATE = re.compile(r"@|[\[(]\s?at\s?[\])]| at \S+(?: dot \S+)* dot ", re.I)
-PHONE_GATE = re.compile(r"\+\d|(?<!\d)00[1-9]|\d[ \xa0.\-/)] ?\d|\d{9}")
-ID_GATE = re.compile(r"\d{6}|\d{3}[- ]\d\d[- ]\d|[A-Z]{2} ?\d\d ?\d\d")
+EMAIL_SIGNS = ("@", "at)", "at ]", "at]", "at )", " dot ")
+PHONE_GATE = re.compile(r"\d(?:[ \xa0.\-/)] ?\(?\d|\d{8})")
+ID_GATE = re.compile(r"\d(?:\d{5}|\d\d[- ]\d\d[- ]\d|\d ?\d\d ?\d\d ?[A-D])")
 #: National digits behind a country code; codes not listed have 7 to 12.
 _NATIONAL = {"1": (10, 10), "7": (10, 10), "33": (9, 9), "34": (9, 9), "44": (10, 10), "49": (7, 12)}
 _INTERNATIONAL = re.compile(r"(?<![\w+.])(?:\+|00(?=[1-9]))([1-9]\d{0,14})")
@@ -86,6 +86,7 @@ THING = re.compile(r"(?:\bis[bs]n|\bdoi|\bchecksum|\boffset|\bbytes|\bcrc|\borde
 
 _NUM = r"\d{1,4}(?:[ ]?(?:bis|ter)\b|[ ]?[A-Za-z]\b)?"
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w’'\-]*"
+_EN_TYPES = tuple(f" {x}" for x in "Lane Road Rd Street St Close Court Ct Terrace Avenue Ave Crescent Boulevard Blvd Drive Way Square Row Gardens Place".split())
 _EN_TYPE = r"(?:Lane|Road|Rd|Street|St|Close|Court|Ct|Terrace|Avenue|Ave|Crescent|Boulevard|Blvd|Drive|Way|Square|Row|Gardens|Place)"
 _FR_TYPE = r"(?:rue|avenue|quai|place|boulevard|chemin|impasse|allée|cours|route|square|passage)"
 _ES_TYPE = r"(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Camino|Ronda|Travesía)"
@@ -97,6 +98,14 @@ ADDRESSES = [
     re.compile(rf"(?<![\w]){_ES_TYPE} ?{_OF}?{_CAP}(?: {_OF}?{_CAP})*(?:, ?| nº ?|, nº ?| n\.º ?| )\d{{1,4}}[A-Za-z]?(?!\w)"),
     re.compile(r"(?<![\w])(?:[A-ZÄÖÜ][\w\-]*(?:straße|strasse|weg|gasse|platz|allee|ufer|damm|steig)|(?:[A-ZÄÖÜ]\w+ ){1,2}(?:Str\.|Straße|Weg|Gasse|Platz|Allee)) \d{1,4}[ ]?(?:[A-Za-z])?(?!\w)"),
 ]
+#: What each pattern can't do without; the last three in lower case.
+ADDRESS_SIGNS = [
+    _EN_TYPES,
+    tuple(t.upper() for t in _EN_TYPES),
+    ("rue ", "avenue ", "quai ", "place ", "boulevard ", "chemin ", "impasse ", "allée ", "cours ", "route ", "square ", "passage "),
+    ("calle", "c/", "avda", "avenida", "plaza", "paseo", "camino", "ronda", "travesía"),
+    ("straße", "strasse", "weg", "gasse", "platz", "allee", "ufer", "damm", "steig", "str."),
+]
 #: Weak: a German street named by a preposition, and a number before capitalised words of no known type.
 WEAK_ADDRESSES = [
     re.compile(r"(?<![\w])(?:An|Am|Auf|Unter|Hinter|Vor|Zum|Zur|Bei|Beim|Im|In)(?: (?:den|der|dem|die))?(?: [A-ZÄÖÜ]\w+){1,2} \d{1,4}[A-Za-z]?(?!\w)"),
@@ -125,7 +134,7 @@ NAME_BACK = re.compile(rf"(?<![\w@#.\-’'])(?=({_CAPITAL_WORD}), ?({_CAPITAL_WO
 TITLES = frozenset("mr mrs ms miss dr prof sir don doña herr herrn frau mme mlle madame monsieur sr sra señor señora m".split())
 _POSSESSIVE = re.compile(r"['’]s?$", re.I)
 _CONTRACTED = re.compile(r"^\w['’][a-zß-ÿ]")
-_BEFORE = re.compile(r"([^\W\d_]+\.?)?[^\w\n]*?([^\W_]+[.:=,(\"]*)[^\w\n]{0,3}$")
+_FRAME_WORD = re.compile(r"[^\W_]+")
 _AFTER = re.compile(r"[ \xa0]{0,2}([^\W\d_]+|\d|[^\w\s])?")
 
 
@@ -144,10 +153,15 @@ def frames(text: str, start: int, end: int) -> tuple[str, str]:
     """The frame of a span: the two words before it (one, if a sign ends it), and the word before with what follows."""
     left = text[max(0, start - 40) : start]
     line = left.rpartition("\n")[2]
-    m = _BEFORE.search(line)
-    near, far = (m.group(2).casefold(), (m.group(1) or "").casefold()) if m else ("^" if "\n" in left or not left else "?", "")
-    m2 = _AFTER.match(text, end, end + 24)
-    after = (m2.group(1) or "") if m2 else ""
+    words = _FRAME_WORD.findall(line)[-2:]
+    if words:
+        behind = line[line.rfind(words[-1]) + len(words[-1]) :]
+        near = words[-1].casefold() + "".join(c for c in behind if c in '.:=,("')
+        far = words[0].casefold() if len(words) > 1 else ""
+    else:
+        near, far = ("^" if "\n" in left or not left else "?"), ""
+    m = _AFTER.match(text, end, end + 24)
+    after = (m.group(1) or "") if m else ""
     return near if not near[-1].isalnum() else f"{far} {near}", f"{near}|{after.casefold()}"
 
 
@@ -182,12 +196,14 @@ def scan(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple
         out.append((a, b, kind, strong, None, None, False))
         taken.append((a, b))
 
-    for m in EMAIL.finditer(text) if EMAIL_GATE.search(text) else ():
+    low = text.lower()
+    for m in EMAIL.finditer(text) if any(x in low for x in EMAIL_SIGNS) else ():
         take(m.start(), m.end(), "email", True)
     digits = any(map(str.isdigit, text))
     if digits:
-        for pattern in ADDRESSES:
-            for m in pattern.finditer(text):
+        for i, (pattern, signs) in enumerate(zip(ADDRESSES, ADDRESS_SIGNS, strict=True)):
+            where = text if i < 2 else low
+            for m in pattern.finditer(text) if any(x in where for x in signs) else ():
                 if free(m.start(), m.end()):
                     take(m.start(), m.end(), "address", True)
         ids, phones = ID_GATE.search(text) is not None, PHONE_GATE.search(text) is not None
