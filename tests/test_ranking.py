@@ -147,3 +147,10 @@ def test_run_bytes_of_the_pinned_build(spark):
     index = build(corpus(spark, [(0, "a", "go go"), (1, "b", "go search"), (2, "c", "")]))
     sizes = {r.segment: r.bytes for r in evaluate.run_bytes(index, 1).collect()}
     assert sizes == {0: 24 + 12 + 2 + 8, 1: 24 + 12 + 2 + 8 + 12 + 6 + 8, 2: 24}
+
+
+def test_segment_report_of_the_pinned_build(spark):
+    index = kept(build(corpus(spark, [(0, "a", "go go"), (1, "b", "go search"), (2, "c", "")])))
+    r = evaluate.segment_report(index, 1, 2).first()
+    assert tuple(r) == (3, 2, 4, 3, 3, 2, 222, 160)
+    assert tuple(evaluate.segment_report(index, 10, 2).first())[4:] == (1, 0, 0, 0)

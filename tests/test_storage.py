@@ -151,3 +151,23 @@ def test_stream(spark, index, tmp_path):
     assert grown.stats.first() == index.stats.first()
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "a"), ("2024-01-01 01:10:00", None)], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert sorted((r.k or "", r.n) for r in late_counts(events, "t", "k").collect()) == [("", 1), ("a", 2)]
+
+
+def test_observations_and_judgements(spark, tmp_path):
+    from textloom.operators.index import index_digest
+    from textloom.sources import observations as o
+
+    df = spark.createDataFrame([(1, "raw", "x", 10, "q", "ok", 3, 5, "d1"), (2, "raw", "x", 10, "q", "ok", 3, 5, "d2")], "repetition int, codec string, executor string, k int, query_id string, status string, results int, nanoseconds long, digest string")
+    o.write_observations(df, f"file://{tmp_path}/o")
+    back = o.read_observations(spark, f"file://{tmp_path}/o")
+    assert back.count() == 2 and o.same_results(back).first().digests == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        o.write_observations(df, f"file://{tmp_path}/o")
+    (tmp_path / "q.txt").write_text("1 0 d1 1\n1\t0\td2\t0\n\n")
+    assert sorted(map(tuple, o.read_qrels(spark, f"file://{tmp_path}/q.txt").collect())) == [("1", "d1", 1), ("1", "d2", 0)]
+    (tmp_path / "r.txt").write_text("1 Q0 d1 1 -1 tag\n")
+    assert tuple(o.read_run(spark, f"file://{tmp_path}/r.txt").first()) == ("1", "d1", 1)
+    rows = spark.createDataFrame(ROWS, "doc_id long, external_id string, text string")
+    for i, parts in enumerate((1, 3)):
+        write(build(rows.repartition(parts)), f"file://{tmp_path}/i{i}")
+    assert index_digest(spark, f"file://{tmp_path}/i0") == index_digest(spark, f"file://{tmp_path}/i1")

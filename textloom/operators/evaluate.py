@@ -73,3 +73,30 @@ def merge_passes(runs: list[int], fan_in: int) -> list[list[list[int]]]:
         passes.append(groups)
         left = len(groups)
     return passes
+
+
+def segment_report(index: Index, segment_documents: int, fan_in: int = 16) -> DataFrame:
+    """One row: what building in segments of consecutive documents and merging them would read and write.
+
+    documents, documents_with_terms, tokens, postings, runs, merge_passes, merge_input_bytes and
+    merge_output_bytes. A pass merges groups of ``fan_in`` neighbouring runs; a run that is left alone
+    is carried over and counts in neither. One aggregation per pass, the number of which is the
+    logarithm of the number of runs.
+    """
+    from textloom.operators.index import build_report
+
+    if segment_documents < 1:
+        raise ValueError("a segment has at least one document")
+    level = run_bytes(index, segment_documents)
+    runs = level.count()
+    passes = merge_passes(list(range(runs)), fan_in)
+    read = wrote = 0
+    width = segment_documents
+    for _ in passes:
+        width *= fan_in
+        grouped = level.groupBy(F.floor(F.col("segment") / fan_in).cast("long").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+        level = run_bytes(index, width)
+        sums = grouped.join(level.select(F.col("segment").alias("g"), F.col("bytes").alias("after")), "g").filter("n > 1").agg(F.sum("b").alias("i"), F.sum("after").alias("o")).first()
+        read, wrote = read + (sums.i or 0), wrote + (sums.o or 0)
+    facts = [F.lit(runs).cast("long").alias("runs"), F.lit(len(passes)).cast("long").alias("merge_passes"), F.lit(read).cast("long").alias("merge_input_bytes"), F.lit(wrote).cast("long").alias("merge_output_bytes")]
+    return build_report(index).select("*", *facts)

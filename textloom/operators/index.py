@@ -158,6 +158,15 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("documents", "postings", "terms", "shards")), manifest["profile"])
 
 
+def index_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over version, profile, codec and the checksums of all tables: equal for equal content, however it is split into files."""
+    import hashlib
+
+    manifest = read_manifest(spark, path)
+    parts = [str(manifest["format_version"]), manifest["profile"], manifest["codec"], *(f"{t}={manifest['checksums'][t]}" for t in TABLES)]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
 def build_report(index: Index) -> DataFrame:
     """One row: documents, documents_with_terms, tokens, postings."""
     counted = index.postings.agg(F.count(F.lit(1)).alias("postings"))

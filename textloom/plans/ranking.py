@@ -231,6 +231,24 @@ def run_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.run_bytes(indexed(spark, sf_dir), 100)
 
 
+def segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.segment_report(indexed(spark, sf_dir), 100, 4)
+
+
+def observed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work of all queries summed per executor, from observations written as JSON lines and read back."""
+    import uuid
+
+    from textloom.sources.observations import read_observations, write_observations
+
+    index, asked = indexed(spark, sf_dir), record_queries(spark, sf_dir)
+    path = f"{shared_dir(spark)}/textloom-observations-{uuid.uuid4().hex}"
+    work = search.exhaustive_work(index, asked).select(F.lit(1).alias("repetition"), F.lit("vbyte").alias("codec"), F.lit("exhaustive").alias("executor"), F.lit(10).alias("k"), F.col("query_id").cast("string").alias("query_id"), F.lit("ok").alias("status"), F.least(F.lit(10), F.col("candidates")).cast("int").alias("results"), F.lit(0).cast("long").alias("nanoseconds"), "query_terms", "matched_terms", "postings_decoded", "blocks_decoded", F.col("bytes").alias("bytes_requested"), F.col("candidates").alias("candidates_scored"))
+    write_observations(work, path)
+    counters = ("query_terms", "matched_terms", "postings_decoded", "blocks_decoded", "bytes_requested", "candidates_scored")
+    return evaluate.observation_summary(read_observations(spark, path), counters=counters).select("executor", "k", "queries", "failures", "short_results", *counters)
+
+
 def verify_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks of the index as it is in memory."""
     index = indexed(spark, sf_dir)
@@ -367,6 +385,8 @@ QUERIES = {
     "raw_roundtrip": _roundtrip("raw"),
     "vbyte_roundtrip": _roundtrip("vbyte"),
     "run_bytes": run_sizes,
+    "segment_report": segment_report,
+    "observed_work": observed_work,
     "verify_clean": verify_clean,
     "verify_written": verify_written,
     "reopened_dictionary": reopened_dictionary,
@@ -504,6 +524,13 @@ SQL = {
     "raw_roundtrip": _DOCS + " SELECT term, doc_id, tf FROM p",
     "vbyte_roundtrip": _DOCS + " SELECT term, doc_id, tf FROM p",
     "run_bytes": _DOCS + ", sg AS (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS segment, term, count(*) AS n FROM p GROUP BY ALL), ss AS (SELECT segment, sum(12 + strlen(term) + 8 * n) AS b FROM sg GROUP BY segment) SELECT segment, CAST(24 + coalesce(b, 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT CAST(floor(doc_id / 100) AS BIGINT) AS segment FROM dl) LEFT JOIN ss USING (segment)",
+    "observed_work": "SELECT 'exhaustive' AS executor, 10 AS k, count(*) AS queries, 0 AS failures, count(*) FILTER (candidates < 10) AS short_results, CAST(sum(query_terms) AS BIGINT) AS query_terms, CAST(sum(matched_terms) AS BIGINT) AS matched_terms, CAST(sum(postings_decoded) AS BIGINT) AS postings_decoded, CAST(sum(blocks_decoded) AS BIGINT) AS blocks_decoded, CAST(sum(bytes) AS BIGINT) AS bytes_requested, CAST(sum(candidates) AS BIGINT) AS candidates_scored FROM (" + _DOCS + _WORK + ")",
+    "segment_report": _DOCS + """, lv AS (SELECT CAST(floor(doc_id / w) AS BIGINT) AS s, w, term, count(*) AS n FROM p, (SELECT unnest([100, 400, 1600, 6400, 25600, 102400, 409600, 1638400, 6553600]) AS w) GROUP BY ALL),
+ sb AS (SELECT w, s, 24 + coalesce(b, 0) AS bytes FROM (SELECT DISTINCT w, CAST(floor(doc_id / w) AS BIGINT) AS s FROM dl, (SELECT DISTINCT w FROM lv)) LEFT JOIN (SELECT w, s, sum(12 + strlen(term) + 8 * n) AS b FROM lv GROUP BY ALL) USING (w, s)),
+ nr AS (SELECT w, count(*) AS runs FROM sb GROUP BY w),
+ gr AS (SELECT w, CAST(floor(s / 4) AS BIGINT) AS g, count(*) AS n, sum(bytes) AS b FROM sb GROUP BY ALL),
+ mg AS (SELECT gr.w, sum(gr.b) AS i, sum(sb.bytes) AS o FROM gr JOIN sb ON sb.w = gr.w * 4 AND sb.s = gr.g WHERE gr.n > 1 GROUP BY gr.w)
+ SELECT documents, n AS documents_with_terms, total AS tokens, (SELECT count(*) FROM p) AS postings, (SELECT runs FROM nr WHERE w = 100) AS runs, (SELECT count(*) FROM nr WHERE runs > 1) AS merge_passes, CAST((SELECT coalesce(sum(i), 0) FROM mg) AS BIGINT) AS merge_input_bytes, CAST((SELECT coalesce(sum(o), 0) FROM mg) AS BIGINT) AS merge_output_bytes FROM st""",
     "verify_clean": _zero(_CHECKS),
     "verify_written": _zero(_FILE_CHECKS + _CHECKS),
     "tsv_roundtrip": "SELECT ordinal, external_id, coalesce(text, '') AS text FROM corpus_record",
