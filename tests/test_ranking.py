@@ -93,6 +93,17 @@ def test_executors_equal_the_model_bit_for_bit(spark, seed):
         search.search(whole, queries, 1, "oracle")
 
 
+def test_plans_beyond_the_bound_are_joined(spark, monkeypatch):
+    rows = random_corpus(5)
+    index = kept(build(corpus(spark, rows)))
+    queries = spark.createDataFrame([(1, "alpha beta common"), (2, "rare tie")], "query_id long, text string")
+    small = {e: sorted(map(tuple, search.search(index, queries, 5, e).collect())) for e in search.EXECUTORS}
+    monkeypatch.setattr(search, "MOST_PLAN", 2)
+    large = {e: sorted(map(tuple, search.search(index, queries, 5, e).collect())) for e in search.EXECUTORS}
+    key = lambda found: [r[:3] + (struct.pack("<d", r[4]),) for r in found]
+    assert key(small["exhaustive"]) == key(small["pruned"]) == key(large["exhaustive"]) == key(large["pruned"])
+
+
 def test_empty_corpus(spark):
     index = build(corpus(spark, []))
     assert tuple(index.stats.first()) == (0, 0, 0, 0.0)

@@ -62,8 +62,11 @@ def ranked(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _group_best(offsets: np.ndarray, used: np.ndarray, mask: int, k: int, margin: float):
-    """What a task does for a group of documents: scores of all queries, and each query's k best."""
+def _group_best(offsets: np.ndarray, used: np.ndarray, essential: np.ndarray, mask: int, k: int, margin: float):
+    """What a task does for a group of documents: scores of all queries, and each query's k best.
+
+    Only documents of a query's essential lists are candidates; all lists count for their scores.
+    """
     import pyarrow as pa
 
     def run(table: pa.Table) -> pa.Table:
@@ -77,15 +80,18 @@ def _group_best(offsets: np.ndarray, used: np.ndarray, mask: int, k: int, margin
         total = np.zeros(mask + 1)
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         for q in range(len(offsets) - 1):
-            own = [lists[t] for t in used[offsets[q] : offsets[q + 1]].tolist() if t in lists]
-            if not own:
+            a, b = offsets[q], offsets[q + 1]
+            own = [lists[t] for t in used[a:b].tolist() if t in lists]
+            from_ = [lists[t][0] for t in used[a:b][essential[a:b]].tolist() if t in lists]
+            if not from_:
                 continue
             # Lists come in ascending order of the terms, and a document is once in a list: the order of sums is kept.
             for at, add in own:
                 total[at] += add
-            held = own[0][0] if len(own) == 1 else np.unique(np.concatenate([at for at, _ in own]))
+            held = from_[0] if len(from_) == 1 else np.unique(np.concatenate(from_))
             score = total[held]
-            total[held] = 0.0
+            for at, _ in own:
+                total[at] = 0.0
             if len(held) > k:
                 keep = score >= np.partition(score, len(score) - k)[len(score) - k] - margin
                 held, score = held[keep], score[keep]
@@ -98,15 +104,32 @@ def _group_best(offsets: np.ndarray, used: np.ndarray, mask: int, k: int, margin
     return run
 
 
-def dense_best(index: Index, plan: DataFrame, k: int, digits: int | None = None) -> DataFrame | None:
+def _essential(rows: pd.DataFrame, theta: dict, margin: float) -> np.ndarray:
+    """Which rows (query_id, bound) are essential: without them, no document reaches its query's threshold.
+
+    Of each query's terms in ascending order of their bounds, those whose bounds add up to less than
+    the threshold are not: a document that holds only such terms scores less.
+    """
+    if not theta:
+        return np.ones(len(rows), bool)
+    least = rows["query_id"].map(theta).fillna(-1.0).astype(float).to_numpy() - margin
+    order = np.lexsort((rows["bound"].to_numpy(), pd.factorize(rows["query_id"])[0]))
+    sums = rows.iloc[order].groupby("query_id", sort=False)["bound"].cumsum()
+    need = np.empty(len(rows), bool)
+    need[order] = sums.to_numpy() * (1.0 + SLACK) >= least[order]
+    return need
+
+
+def dense_best(index: Index, plan: DataFrame, k: int, digits: int | None = None, theta: dict | None = None) -> DataFrame | None:
     """(query_id, doc_id, score) with at least the k best documents of each query, or None if the plan is too large.
 
     Contributions don't depend on the query, so they are computed once per posting, in the JVM.
     Postings of the asked terms are shuffled by groups of neighbouring documents; within a group,
     scores of each query are summed in an array, term after term in ascending order, and only its k
-    best leave the task (all of equal score). A group has at most 65,536 documents.
+    best leave the task (all of equal score). A group has at most 65,536 documents. ``theta`` has
+    scores that each query's k-th best reaches; documents that can't reach them aren't candidates.
     """
-    rows = plan.select("query_id", "term").limit(MOST_PLAN + 1).toPandas()
+    rows = plan.select("query_id", "term", "bound").limit(MOST_PLAN + 1).toPandas()
     if len(rows) > MOST_PLAN:
         return None
     spark = index.documents.sparkSession
@@ -127,11 +150,23 @@ def dense_best(index: Index, plan: DataFrame, k: int, digits: int | None = None)
     bits = min(max(wanted.bit_length() - 1, GROUP_BITS[0]), GROUP_BITS[1])
     parts = met.select(F.shiftright("doc_id", bits).alias("g"), "number", "doc_id", bm25.score(F.col("idf"), F.col("tf"), F.col("length"), F.col("average")).alias("c"))
     margin = 0.0 if digits is None else 2.0 * 10.0**-digits
-    best = parts.groupBy("g").applyInArrow(_group_best(offsets, terms_[order], (1 << bits) - 1, k, margin), "number long, doc_id long, score double")
+    essential = _essential(rows, theta or {}, margin)
+    best = parts.groupBy("g").applyInArrow(_group_best(offsets, terms_[order], essential[order], (1 << bits) - 1, k, margin), "number long, doc_id long, score double")
     ids = spark.createDataFrame([(i, x) for i, x in enumerate(names.tolist())], f"number long, query_id {id_type}")
     return best.join(F.broadcast(ids), "number").select("query_id", "doc_id", "score")
 
 
+def pruned_best(index: Index, plan: DataFrame, k: int, digits: int | None = None) -> DataFrame | None:
+    """As :func:`dense_best`, with fewer candidates: each query's term of highest idf gives a first threshold."""
+    first = Window.partitionBy("query_id").orderBy(F.col("idf").desc(), F.col("term").asc())
+    rarest = plan.withColumn("_i", F.row_number().over(first)).filter("_i = 1").drop("_i")
+    lower = dense_best(index, rarest, k)
+    if lower is None or plan.limit(MOST_PLAN + 1).count() > MOST_PLAN:
+        return None
+    reached = ranked(lower, k).filter(F.col("rank") == k).select("query_id", "score").collect()  # a row per query of a bounded plan
+    return dense_best(index, plan, k, digits, {r.query_id: r.score for r in reached})
+
+
 def pruned_parts(index: Index, plan: DataFrame, k: int) -> DataFrame:
     """Contributions of documents that may be among the k best of their query.
 
@@ -159,12 +194,14 @@ def search(index: Index, queries: DataFrame, k: int = 10, executor: str = "exhau
     if executor not in EXECUTORS:
         raise ValueError(f"unknown executor {executor!r}")
     plan = query_plan(index, prepared(queries, index.profile, key, text))
+    plan = written(plan, "plan")
     if executor == "exhaustive":
-        plan = written(plan, "plan")
         scores = dense_best(index, plan, max(k, 1), digits)
         scores = scored(contributions(index, plan)) if scores is None else scores
     else:
-        scores = pruned_parts(index, plan, max(k, 1)).select("query_id", "doc_id", bm25.in_order(F.col("_p")).alias("score"))
+        scores = pruned_best(index, plan, max(k, 1), digits)
+        if scores is None:
+            scores = pruned_parts(index, plan, max(k, 1)).select("query_id", "doc_id", bm25.in_order(F.col("_p")).alias("score"))
     return resolve(index, ranked(scores, k, digits))
 
 
