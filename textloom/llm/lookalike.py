@@ -154,7 +154,7 @@ class _Rewriter:
         self.table = str.maketrans({p: to for p, to in rules if len(p) == 1})
         longer = sorted(p for p, _ in rules if len(p) > 1)
         self.longer = re.compile("|".join(map(re.escape, longer))) if longer else None
-        plain = {p[0] for p, _ in rules if p[0].isascii()}
+        plain = {p[0] for p, _ in rules if p.isascii()}
         self.plain = re.compile("[" + "".join(map(re.escape, sorted(plain))) + "]") if plain else None
 
     def __call__(self, text: str) -> str:
