@@ -129,13 +129,22 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FOUND = "run binary, a binary, b binary"
 
 
+def _joined(column: pa.ChunkedArray, width: int) -> bytes:
+    """The bytes of a column of equally long values, one after the other, without a Python object for each."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            start = int(np.frombuffer(chunk.buffers()[1], np.int32, 1, 4 * chunk.offset)[0])
+            parts.append(memoryview(chunk.buffers()[2])[start : start + width * len(chunk)])
+    return b"".join(parts)
+
+
 def regions(table: pa.Table, needed: int, region: int) -> pa.RecordBatch:
     """Candidates (a, b) of sorted rows; rows (run, a) for texts of a region that is too large at full depth."""
     n = table.num_rows
     values = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("tree", "v0", "v1", "v2", "v3")])
-    digest = np.asarray(table.column("digest").to_pylist(), dtype="S16") if n else np.zeros(0, "S16")
-    raw = b"".join(table.column("digest").to_pylist())
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(n, SKETCH_BYTES // 8)
+    raw = _joined(table.column("digest"), 16)
+    sketch = np.frombuffer(_joined(table.column("sketch"), SKETCH_BYTES), np.uint64).reshape(n, SKETCH_BYTES // 8)
     new = np.zeros(n, bool)
     if n:
         new[0] = True
@@ -162,7 +171,6 @@ def regions(table: pa.Table, needed: int, region: int) -> pa.RecordBatch:
                 name = values[:, a].tobytes()
                 runs.extend([name] * s)
                 members.extend(range(a, a + s))
-    del digest
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     if len(a):
         differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)
@@ -259,7 +267,7 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], rules: tuple[tu
     texts = made.dropDuplicates(["digest"]).select("digest", "n", "hashes", "prefix", "sketch")
     found = candidates(texts, threshold)
     sets = made.select("digest", "n", "hashes").dropDuplicates(["digest"])
-    met = found.join(sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), "a").filter("na > 0").join(sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb")), "b")
+    met = found.join(sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb")), "b")
     # Sets whose sizes alone rule the similarity out aren't sent to Python.
     met = met.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
     checked = met.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_shared, "a binary, b binary, na int, nb int, both int")
