@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,28 @@ def test_catalog_and_service(spark, index):
         wiki.enriched(spark.createDataFrame([("zz",)], "external_id string"), catalog, must=True).collect()
 
 
+def test_server(index, spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from textloom.api import serve
+
+    catalog = spark.createDataFrame([("a", "A", "", ""), ("b", "B", "", "")], wiki.CATALOG)
+    server = serve(index, catalog, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        with urllib.request.urlopen(urllib.request.Request(f"{at}/v1/search", b'{"query": "disk"}')) as r:
+            assert [x["title"] for x in json.loads(r.read())["results"]] == ["B"]
+        for path, body, status in (("/v1/search", b"x", 400), ("/other", b"{}", 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                urllib.request.urlopen(urllib.request.Request(at + path, body))
+            assert e.value.code == status
+    finally:
+        server.shutdown()
+
+
 def test_stream(spark, index, tmp_path):
     df = spark.createDataFrame(ROWS, "doc_id long, external_id string, text string")
     for half in (0, 1):
@@ -171,3 +194,18 @@ def test_observations_and_judgements(spark, tmp_path):
     for i, parts in enumerate((1, 3)):
         write(build(rows.repartition(parts)), f"file://{tmp_path}/i{i}")
     assert index_digest(spark, f"file://{tmp_path}/i0") == index_digest(spark, f"file://{tmp_path}/i1")
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """One file per batch: a row behind the watermark of the batch before the last isn't counted."""
+    schema = "t timestamp, k string"
+    for i, times in enumerate((["2024-01-01 00:10:00"], ["2024-01-01 05:00:00"], ["2024-01-01 05:05:00"], ["2024-01-01 00:20:00", "2024-01-01 05:10:00"])):
+        rows = spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp("t").alias("t"), F.lit("a").alias("k"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        for p in (tmp_path / "in" / str(i)).glob("*.parquet"):
+            os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))  # the stream reads files in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = late_counts(stream, "t", "k").writeStream.outputMode("append").format("memory").queryName("late").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(str(r.start), r.n) for r in spark.sql("select * from late").collect()}
+    assert ("2024-01-01 00:00:00", 1) in got and ("2024-01-01 00:00:00", 2) not in got

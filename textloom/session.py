@@ -13,6 +13,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +95,22 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df if partitions(df) >= least else df.repartition(least)
 
 
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started within belong to ``tag`` and end early if another thread calls :func:`cancel`; their results are lost whole."""
+    sc = spark.sparkContext
+    sc.addJobTag(tag)
+    try:
+        yield
+    finally:
+        sc.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Cancel the running jobs of a tag."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     """A frame without rows."""
     return spark.createDataFrame([], schema)
