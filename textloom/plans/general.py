@@ -46,9 +46,27 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_records": p6_records}
 
+#: Lines without the carriage return at their end, as hexadecimal digits and, where they are UTF-8, as text.
+RAW_LINES = """raw AS (SELECT line_no, fmt, h, TRY(decode(unhex(h))) AS s FROM
+ (SELECT line_no, fmt, CASE WHEN right(hex(line), 2) = '0D' THEN left(hex(line), len(hex(line)) - 2) ELSE hex(line) END AS h FROM raw_record))"""
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 _TERMS = "SELECT run_id, term, any_value(df) AS df, any_value(postings_bytes) AS postings_bytes FROM term_record GROUP BY run_id, term"
+_P6 = f"""WITH {RAW_LINES}, cut AS (SELECT *, regexp_extract(s, '^{_FIELD}', 0, 's') AS f FROM raw WHERE fmt = 'csv'),
+ found AS (SELECT line_no, s, NULL AS f, CASE WHEN len(h) > 2 * 1048576 THEN 'too_large' WHEN s IS NULL THEN 'invalid_utf8' WHEN instr(s, chr(9)) = 0 THEN 'column_count' WHEN instr(s, chr(9)) = 1 THEN 'empty_id'
+   WHEN strlen(split_part(s, chr(9), 1)) > 1024 THEN 'id_too_large' END AS reason FROM raw WHERE fmt = 'tsv'
+  UNION ALL SELECT line_no, s, f, CASE WHEN len(h) > 2 * 1048576 THEN 'too_large' WHEN s IS NULL THEN 'invalid_utf8' WHEN NOT regexp_full_match(s, '{_FIELD}(?:,{_FIELD})*', 's') THEN 'broken_quoting'
+   WHEN NOT regexp_full_match(s, '{_FIELD},{_FIELD}', 's') THEN 'column_count' WHEN f IN ('', '""') THEN 'empty_id'
+   WHEN strlen(CASE WHEN f LIKE '"%' THEN replace(substr(f, 2, len(f) - 2), '""', '"') ELSE f END) > 1024 THEN 'id_too_large' END FROM cut)"""
+
+
+def _bare(field: str) -> str:
+    return f"CASE WHEN {field} LIKE '\"%' THEN replace(substr({field}, 2, len({field}) - 2), '\"\"', '\"') ELSE {field} END"
+
+
 SQL = {
     "p4_found": f"WITH t AS ({_TERMS}) SELECT term FROM t GROUP BY term HAVING count(*) >= 0.02 * (SELECT count(*) FROM t)",
+    "p6_found": _P6 + " SELECT DISTINCT line_no, reason FROM found WHERE reason IS NOT NULL",
+    "p6_records": _P6 + f", two AS (SELECT *, substr(s, len(f) + 2) AS g FROM found WHERE reason IS NULL) SELECT line_no, CASE WHEN f IS NULL THEN split_part(s, chr(9), 1) ELSE {_bare('f')} END AS external_id, CASE WHEN f IS NULL THEN substr(s, instr(s, chr(9)) + 1) ELSE {_bare('g')} END AS text FROM two",
     "p4_profile": f"""WITH t AS ({_TERMS}) SELECT term, count(*) AS "rows", CAST(sum(df) AS BIGINT) AS df, CAST(sum(postings_bytes) AS BIGINT) AS postings_bytes,
         quantile_disc(postings_bytes, 0.5) AS q50, quantile_disc(postings_bytes, 0.9) AS q90, quantile_disc(postings_bytes, 0.99) AS q99 FROM t GROUP BY term""",
 }

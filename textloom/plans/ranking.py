@@ -15,6 +15,7 @@ from textloom.functions.text import SQL_TERM
 from textloom.operators import blocks, evaluate, search
 from textloom.operators.index import Index, build, build_report, kept, merge, open_index, write
 from textloom.operators.verify import block_violations, verify, violations
+from textloom.plans.general import RAW_LINES
 from textloom.session import shared_dir, spread, table
 from textloom.sources import corpus, wiki
 from textloom.streaming.segments import append_segments, open_segments
@@ -486,7 +487,14 @@ _KNOWN = f"{_RECS}{_OWN}{_RANK}, qr AS (SELECT ordinal AS query_id, ordinal AS d
 _CATALOG = f"WITH cat AS (SELECT CAST(ordinal AS VARCHAR) AS external_id, left({_line('text')}, 40) AS title, {_line('text')} AS preview FROM corpus_record WHERE {_line('text')} <> ''), res AS (SELECT DISTINCT query_id, CAST(doc_id AS VARCHAR) AS external_id FROM search_result WHERE rank = 1)"
 _WIKI = f"WITH w AS (SELECT DISTINCT page_id, namespace, title, text, {_line('title')} AS tl, {_line('text')} AS xl FROM dump_article), z AS (SELECT *, CASE WHEN namespace IS NULL OR namespace <> 0 THEN 'namespace' WHEN tl = '' OR xl = '' THEN 'empty' WHEN strlen(CAST(page_id AS VARCHAR)) + 1 + strlen(xl) > 1048576 THEN 'too_large' END AS reason FROM w)"
 
+_URL = "url_encode(replace(title, ' ', '_'))"
+for _code, _sign in (("24", "$"), ("26", "&"), ("2B", "+"), ("2C", ","), ("2F", "/"), ("3A", ":"), ("3B", ";"), ("3D", "="), ("40", "@")):
+    _URL = f"replace({_URL}, '%{_code}', '{_sign}')"
+
 SQL = {
+    "wiki_corpus": _WIKI.replace("page_id, namespace, title, text,", "page_id, namespace, title, text, opening_text,") + f" SELECT CAST(page_id AS VARCHAR) AS external_id, tl AS title, xl AS text, left(CASE WHEN {_line('opening_text')} <> '' THEN {_line('opening_text')} ELSE xl END, {wiki.PREVIEW}) AS preview, '{wiki.PAGE_URL}' || {_URL} AS source_url FROM z WHERE reason IS NULL",
+    "validate_records": f"""WITH {RAW_LINES} SELECT CASE WHEN len(h) > 2 * 1048576 THEN 'too_large' WHEN s IS NULL THEN 'invalid_utf8' WHEN instr(s, chr(9)) = 0 THEN 'column_count' WHEN instr(s, chr(9)) = 1 THEN 'empty_id'
+  WHEN strlen(split_part(s, chr(9), 1)) > 1024 THEN 'id_too_large' END AS reason, count(*) AS lines FROM raw WHERE fmt = 'tsv' GROUP BY ALL""",
     "tokenize": _DOCS + " SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, term FROM (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM src)",
     "doc_lengths": _DOCS + " SELECT doc_id, length FROM dl",
     "corpus_stats": _DOCS + " SELECT documents, n AS documents_with_terms, total AS total_length, round(a, 9) AS average_length FROM st",
