@@ -46,17 +46,19 @@ class Index:
 def build(corpus: DataFrame, profile: str = "plain", key: str = "doc_id", external: str = "external_id", text: str = "text") -> Index:
     """Index a corpus (doc_id BIGINT, external_id, text), one row per document.
 
-    Texts are shuffled once, by document; cutting, counting and lengths need no further
-    shuffle. Terms and shards are partial aggregates of the postings. Null and empty texts
+    Texts are analysed where they are read; their terms are shuffled once, by document, after which
+    counting needs no further shuffle. Terms and shards are partial aggregates of the postings. Null and empty texts
     are documents of length 0. External ids may repeat or be null. Rows with a null key
     are left out. The result is lazy; see :func:`kept` and :func:`write`.
     """
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
     rows = corpus.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(external).alias("external_id"), F.col(text).alias("text"))
-    analysed = rows.repartition("doc_id").select("doc_id", "external_id", terms(F.col("text"), profile).alias("terms"))
+    # Analysis comes before the shuffle: behind an Arrow function the optimiser no longer knows how rows are partitioned.
+    analysed = rows.select("doc_id", "external_id", terms(F.col("text"), profile).alias("terms")).repartition("doc_id")
     documents = analysed.select("doc_id", "external_id", F.size("terms").cast("long").alias("length"))
-    postings = analysed.select("doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    # The outer form, as for the other a filter on the terms would be derived and analyse every text twice.
+    postings = analysed.select("doc_id", F.size("terms").cast("long").alias("length"), F.explode_outer("terms").alias("term")).filter(F.col("term").isNotNull()).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     return _derived(documents, postings.select("term", "doc_id", "tf", "length", F.shiftright("doc_id", SHARD_BITS).alias("shard")), profile)
 
 
@@ -67,9 +69,14 @@ def _derived(documents: DataFrame, postings: DataFrame, profile: str) -> Index:
 
 
 def kept(index: Index) -> Index:
-    """The same index with documents and postings written to the shared folder, read by all that follows."""
+    """The same index with documents and postings written to the shared folder, read by all that follows.
+
+    Lengths are taken from the written postings, so texts are analysed once.
+    """
     postings = written(index.postings, "postings")
-    return _derived(written(index.documents, "documents"), postings, index.profile)
+    lengths = postings.groupBy("doc_id").agg(F.first("length").alias("length"))
+    documents = index.documents.select("doc_id", "external_id").join(lengths, "doc_id", "left").select("doc_id", "external_id", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+    return _derived(written(documents, "documents"), postings, index.profile)
 
 
 def merge(segments: list[Index]) -> Index:
