@@ -76,6 +76,18 @@ def test_crowded_regions_lose_nothing(spark):
     assert {r.links for r in found.groups().collect()} == {60}
 
 
+@pytest.mark.parametrize(("direct", "window"), [(S.DIRECT, S.WINDOW), (16, S.WINDOW), (16, 70)])
+def test_large_groups_near_the_threshold(spark, direct, window):
+    """160 texts with a common part and own words, at similarities between 0.5 and 0.6: all pairs are candidates."""
+    core = [f"c{i}" for i in range(120)]
+    rows = [(i, "t", " ".join([*core, *(f"o{i}x{j}" for j in range(42 + i % 12))])) for i in range(160)]
+    df = spark.createDataFrame(rows, "page_id long, title string, text string")
+    texts = S.features(df, "page_id", ["title", "text"], 3, 20, ())
+    want, _ = brute(rows, 3, 0.5, 20)
+    assert len(want) == 160 * 159 // 2
+    assert S.candidates(texts, 0.5, direct, window).count() == len(want)
+
+
 def test_windows_cut_nowhere(spark):
     rows = [(i, "t", t) for i, _, t in corpus(3, 120)]
     df = spark.createDataFrame(rows, "page_id long, title string, text string")

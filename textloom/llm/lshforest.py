@@ -2,12 +2,12 @@
 
 Each text is a set of hashed word shingles. 256 min-hashes give 16 orders of four
 values each and a sketch of one bit per value. In each order all texts are sorted by
-their four values (a range partitioning, so that frequent values are cut at the next
-one), and texts with the longest common prefix lie side by side. The depth adapts
-to the region: of a text, the shortest prefix that at most ``region`` texts share is
-taken; all within it are candidates, if the sketches agree. A region that is still
-larger at full depth isn't cut off: its texts meet block by block. Candidates are
-checked exactly against the shingle sets.
+their first value (a range partitioning that may cut a frequent value), and texts
+that share it lie side by side. At most ``direct`` of them meet at once; more, or
+those that a partition or window may have cut, are grouped again by their first and
+each of six further values, and there all meet, block by block. No group is cut off:
+a pair at similarity 0.5 shares such a group with about 1 - 2e-5. If their sketches
+agree, candidates are checked exactly against the shingle sets.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import terms_of
 from textloom.llm.lookalike import consistent, rewriter
-from textloom.llm.pairs import group_pairs
+from textloom.llm.pairs import BLOCK, group_pairs
 from textloom.session import written
 
 ORDERS, DEPTH, VALUES = 16, 4, 256
-#: At most this many texts share the prefix that makes them candidates.
-REGION = 16
+#: At most this many texts that share a first value meet at once; more share a further value too.
+DIRECT = 500
+#: Further values: the others of the order and of the next one.
+FURTHER = 2 * (DEPTH - 1)
 #: Rows of a sorted order that are looked at at once.
 WINDOW = 100_000
 SKETCH_BYTES = VALUES // 8
@@ -111,22 +113,24 @@ def features(df: DataFrame, key: str, columns: list[str], size: int, min_words:
     return df.select(F.col(key).cast("long").alias(key), *columns).mapInArrow(run, FEATURES)
 
 
-_ORDERED = "tree int, v0 long, v1 long, v2 long, v3 long, digest binary, sketch binary"
+_ORDERED = "key long, digest binary, sketch binary, further binary"
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text and order."""
+    """One row per text and order: the order with its first value, and the further values."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        values = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint32).reshape(n, ORDERS, DEPTH).astype(np.int64)
+        values = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint32).reshape(n, ORDERS, DEPTH)
+        key = (np.arange(ORDERS, dtype=np.int64) << 32)[None, :] | values[:, :, 0].astype(np.int64)
+        further = np.concatenate([values, np.roll(values, -1, axis=1)], axis=2)[:, :, [d for d in range(2 * DEPTH) if d % DEPTH]]
         rows = pa.array(np.repeat(np.arange(n), ORDERS))
-        columns = [pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)), *(pa.array(np.ascontiguousarray(values[:, :, d]).ravel()) for d in range(DEPTH))]
-        yield pa.RecordBatch.from_arrays([*columns, batch.column("digest").take(rows), batch.column("sketch").take(rows)], names=["tree", "v0", "v1", "v2", "v3", "digest", "sketch"])
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * FURTHER), n * ORDERS, [None, pa.py_buffer(further.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("digest").take(rows), batch.column("sketch").take(rows), packed], names=["key", "digest", "sketch", "further"])
 
 
-_FOUND = "run binary, a binary, b binary"
+_FOUND = "key long, a binary, b binary"
 
 
 def _joined(column: pa.ChunkedArray, width: int) -> bytes:
@@ -139,50 +143,115 @@ def _joined(column: pa.ChunkedArray, width: int) -> bytes:
     return b"".join(parts)
 
 
-def regions(table: pa.Table, needed: int, region: int) -> pa.RecordBatch:
-    """Candidates (a, b) of sorted rows; rows (run, a) for texts of a region that is too large at full depth."""
-    n = table.num_rows
-    values = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("tree", "v0", "v1", "v2", "v3")])
-    raw = _joined(table.column("digest"), 16)
-    sketch = np.frombuffer(_joined(table.column("sketch"), SKETCH_BYTES), np.uint64).reshape(n, SKETCH_BYTES // 8)
-    new = np.zeros(n, bool)
-    if n:
-        new[0] = True
-    new[1:] |= values[0, 1:] != values[0, :-1]
-    settled = np.zeros(n, bool)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    runs: list[bytes] = []
-    members: list[int] = []
-    for depth in range(1, DEPTH + 1):
-        new[1:] |= values[depth, 1:] != values[depth, :-1]
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, n))
-        open_ = ~settled[head]
-        fits = open_ & (size <= region)
-        for s in np.unique(size[fits & (size > 1)]):
-            at = head[fits & (size == s)]
-            i, j = np.triu_indices(int(s), 1)
-            left.append((at[:, None] + i[None, :]).ravel())
-            right.append((at[:, None] + j[None, :]).ravel())
-        settled[np.repeat(fits, size)] = True
-        if depth == DEPTH:
-            for a, s in zip(head[open_ & ~fits].tolist(), size[open_ & ~fits].tolist(), strict=True):
-                name = values[:, a].tobytes()
-                runs.extend([name] * s)
-                members.extend(range(a, a + s))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    if len(a):
-        differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)
-        keep = VALUES - differ >= needed
-        a, b = a[keep], b[keep]
-    name = lambda i: raw[16 * i : 16 * i + 16]
-    pairs = {(min(x, y), max(x, y)) for x, y in ((name(i), name(j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)) if x != y}
-    firsts = [x for x, _ in pairs] + [name(i) for i in members]
-    return pa.RecordBatch.from_arrays([pa.array([None] * len(pairs) + runs, pa.binary()), pa.array(firsts, pa.binary()), pa.array([y for _, y in pairs] + [None] * len(members), pa.binary())], names=["run", "a", "b"])
-
-
-def _walk(needed: int, region: int, window: int):
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(_joined(table.column("sketch"), SKETCH_BYTES), np.uint64).reshape(table.num_rows, SKETCH_BYTES // 8)
+
+
+def _agree(left: np.ndarray, right: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of each row of ``left`` and each of ``right`` whose sketches agree."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, 65_536 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        part = left[at : at + step]
+        differ = np.zeros((len(part), len(right)), np.uint16)
+        for w in range(SKETCH_BYTES // 8):
+            differ += np.bitwise_count(part[:, w, None] ^ right[None, :, w])
+        i, j = np.nonzero(differ <= VALUES - needed)
+        found.append((i + at, j))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _within(head: np.ndarray, size: np.ndarray, sketch: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (a, b), a < b, of all rows of a group whose sketches agree; groups start at ``head``."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s in np.unique(size[size > 1]).tolist():
+        at = head[size == s]
+        if s > 64:
+            for h in at.tolist():
+                i, j = _agree(sketch[h : h + s], sketch[h : h + s], needed)
+                found.append((h + i[i < j], h + j[i < j]))
+            continue
+        i, j = np.triu_indices(s, 1)
+        step = max(1, 65_536 // len(i))
+        for k in range(0, len(at), step):
+            a, b = ((at[k : k + step, None] + x[None, :]).ravel() for x in (i, j))
+            keep = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.uint16) <= VALUES - needed
+            found.append((a[keep], b[keep]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _heads(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal rows."""
+    n = len(columns[0])
+    change = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    head = np.append(0, np.flatnonzero(change) + 1)
+    return head, np.diff(np.append(head, n))
+
+
+def _digest_pairs(table: pa.Table, a: np.ndarray, b: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The digests of the rows a and b, the lesser one first, each two once."""
+    digest = np.frombuffer(_joined(table.column("digest"), 16), ">u8").reshape(-1, 2)
+    x, y = digest[a], digest[b]
+    swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    both = np.unique(np.concatenate([digest[a], digest[b]], axis=1), axis=0)
+    both = both[(both[:, :2] != both[:, 2:]).any(axis=1)]
+    column = lambda v: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(v), [None, pa.py_buffer(v.astype(">u8").tobytes())]).cast(pa.binary())
+    return column(both[:, :2]), column(both[:, 2:])
+
+
+def _walk(needed: int, direct: int, window: int):
+    """Candidates (a, b) of rows sorted by key; (key, digest, sketch) for each further value of a text in a group that is large or may be cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        # The group that the start of the partition or the end of a window may have cut.
+        parted: int | None = None
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, parted
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.asarray(table.column("key"))
+            head, size = _heads(keys)
+            parted = int(keys[0]) if parted is None else parted
+            crowded = (size > direct) | (keys[head] == parted)
+            if last or len(head) == 1:
+                crowded[-1] = True
+                parted, end = int(keys[-1]), len(keys)
+            else:
+                end = int(head[-1])
+                head, size, crowded = head[:-1], size[:-1], crowded[:-1]
+            rest = table.slice(end)
+            held, rows = rest.to_batches(), rest.num_rows
+            a, b = _digest_pairs(table, *_within(head[~crowded], size[~crowded], _sketches(table), needed))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), a, b], names=["key", "a", "b"])
+            at = np.flatnonzero(np.repeat(crowded, size))
+            if len(at):
+                some = table.take(pa.array(at))
+                further = np.frombuffer(_joined(some.column("further"), 4 * FURTHER), np.uint32).reshape(-1, FURTHER).astype(np.uint64)
+                key = _finish(_finish(keys[at].astype(np.uint64))[:, None] ^ (further | (np.arange(FURTHER, dtype=np.uint64) << np.uint64(32))[None, :]))
+                each = pa.array(np.repeat(np.arange(len(at)), FURTHER))
+                digest, sketch = (some.column(c).combine_chunks().take(each) for c in ("digest", "sketch"))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), digest, sketch], names=["key", "a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= window:
+                yield from cut(False)
+        if rows:
+            yield from cut(True)
+
+    return run
+
+
+def _meet(needed: int, window: int):
+    """Candidates (a, b) of rows sorted by (key, i, j): block i of a group meets block j, or itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -190,22 +259,28 @@ def _walk(needed: int, region: int, window: int):
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
             table = pa.Table.from_batches(held).combine_chunks()
+            keys, left, right, own = (np.asarray(table.column(c)) for c in ("key", "i", "j", "own"))
+            head, size = _heads(keys, left, right)
             end = table.num_rows
             if not last:
-                # Up to where the shortest prefix changes; within a long region, where a longer one does.
-                tail = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("tree", "v0", "v1", "v2", "v3")])
-                for depth in range(2, DEPTH + 2):
-                    change = np.flatnonzero((tail[:depth, 1:] != tail[:depth, :-1]).any(axis=0))
-                    if len(change) and change[-1] + 1 > end // 2:
-                        end = int(change[-1]) + 1
-                        break
-            yield regions(table.slice(0, end).combine_chunks(), needed, region)
+                end = int(head[-1])
+                head, size = head[:-1], size[:-1]
             rest = table.slice(end)
             held, rows = rest.to_batches(), rest.num_rows
+            sketch = _sketches(table)
+            same = left[head] == right[head]
+            found = [_within(head[same], size[same], sketch, needed)]
+            for h, s in zip(head[~same].tolist(), size[~same].tolist(), strict=True):
+                x, y = (h + np.flatnonzero(own[h : h + s] == side[h]) for side in (left, right))
+                i, j = _agree(sketch[x], sketch[y], needed)
+                found.append((x[i], y[j]))
+            a, b = _digest_pairs(table, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
             if rows >= window:
                 yield from cut(False)
         if rows:
@@ -214,15 +289,21 @@ def _walk(needed: int, region: int, window: int):
     return run
 
 
-def candidates(texts: DataFrame, threshold: float, region: int = REGION, window: int = WINDOW) -> DataFrame:
+def candidates(texts: DataFrame, threshold: float, direct: int = DIRECT, window: int = WINDOW) -> DataFrame:
     """Distinct candidate pairs (a, b) of digests, a < b, of ``texts`` (digest, prefix, sketch), one row per digest."""
+    needed, block = agreement_needed(threshold), min(BLOCK, window)
     rows = texts.select("digest", "prefix", "sketch").mapInArrow(_orders, _ORDERED)
-    order = ["tree", "v0", "v1", "v2", "v3"]
-    found = rows.repartitionByRange(*order).sortWithinPartitions(*order, "digest").mapInArrow(_walk(agreement_needed(threshold), region, window), _FOUND)
+    found = rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest").mapInArrow(_walk(needed, direct, window), _FOUND)
     found = written(found, "candidates")
-    near = found.filter(F.col("run").isNull()).select("a", "b")
-    crowded = found.filter(F.col("run").isNotNull()).select("run", F.col("a").alias("digest")).distinct()
-    return near.unionByName(group_pairs(crowded, "run", "digest").select("a", "b")).distinct()
+    near = found.filter(F.col("key").isNull()).select("a", "b")
+    crowded = found.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("digest"), F.col("b").alias("sketch"))
+    # Groups of several blocks are few; each two blocks meet under their own key.
+    large = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    cut = crowded.join(large, "key", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / F.lit(float(block))), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int"))
+    met = cut.select("key", "digest", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "sketch")
+    dense = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(needed, window), "a binary, b binary")
+    return near.unionByName(dense).distinct()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
