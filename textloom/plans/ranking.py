@@ -313,8 +313,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "search_result").filter("rank = 1").select("query_id", F.col("doc_id").cast("string").alias("external_id")).distinct()
-    return rows
+    return table(spark, sf_dir, "search_result").select("query_id", F.col("doc_id").cast("string").alias("external_id")).distinct()
 
 
 def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
