@@ -209,7 +209,7 @@ def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _targets(index: Index) -> DataFrame:
-    return index.terms.filter("df >= 3").select("term").crossJoin(F.broadcast(index.documents.agg(F.max("doc_id").alias("m")))).select("term", F.explode(F.array(F.lit(1).cast("long"), F.floor(F.col("m") / 2).cast("long"), F.col("m"))).alias("target"))
+    return index.terms.select("term").crossJoin(F.broadcast(index.documents.agg(F.max("doc_id").alias("m")))).select("term", F.explode(F.array(F.lit(1).cast("long"), F.floor(F.col("m") / 2).cast("long"), F.col("m"))).alias("target"))
 
 
 def cursor_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
