@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from textloom.functions.text import terms_of
@@ -110,3 +111,18 @@ def test_components_of_long_paths(spark):
     edges = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(120) if i != 60]
     got = {bytes(r.digest): bytes(r.label) for r in S.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert set(got.values()) == {b"000", b"061"} and len(got) == 121
+
+
+def test_rows_behind_a_cut_window_stay_with_their_group():
+    """A group fills a window and leaves a few rows behind: all of it is grouped again by the same further values."""
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("further", pa.binary())])
+    row = lambda key, i: {"key": key, "digest": i.to_bytes(16, "big"), "sketch": bytes(S.SKETCH_BYTES), "further": bytes(4 * S.FURTHER)}
+    rows = [row(1, i) for i in range(5)] + [row(2, i) for i in range(5, 105)] + [row(3, 105), row(3, 106), row(4, 107)]
+    batches = [pa.RecordBatch.from_pylist(rows[a:b], schema=schema) for a, b in ((0, 5), (5, 95), (95, 108))]
+    found = pa.Table.from_batches(list(S._walk(S.agreement_needed(0.5), 16, 90)(iter(batches)))).to_pylist()
+    groups: dict[int, set[int]] = {}
+    for r in found:
+        if r["key"] is not None:
+            groups.setdefault(r["key"], set()).add(int.from_bytes(r["a"], "big"))
+    assert sum(members == set(range(5, 105)) for members in groups.values()) == S.FURTHER
+    assert [(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in found if r["key"] is None] == [(105, 106)]
