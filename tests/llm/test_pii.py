@@ -57,3 +57,14 @@ def test_nothing_and_long(spark):
 @pytest.mark.parametrize(("spans", "want"), [([], "abcdef"), ([(1, 3, "name")], "a[NAME]def"), ([(1, 3, "name"), (1, 5, "email"), (4, 6, "phone")], "a[EMAIL]f"), ([(0, 6, "address")], "[ADDRESS]")])
 def test_replaced(spans, want):
     assert pii.replaced("abcdef", spans) == want
+
+
+def test_gates_let_non_breaking_spaces_through():
+    """What only a pattern with a non-breaking space finds is tried at all."""
+    for text, kind, found in (
+        ("ring (030)\xa01234567", "phone", "(030)\xa01234567"),
+        ("at 206 Old\xa0Mill\xa0Lane", "address", "206 Old\xa0Mill\xa0Lane"),
+        ("AT 206 OLD\xa0MILL\xa0ROAD", "address", "206 OLD\xa0MILL\xa0ROAD"),
+        ("b.stone (at\xa0) notes (dot) example", "email", "b.stone (at\xa0) notes (dot) example"),
+    ):
+        assert (kind, found) in {(k, text[a:b]) for a, b, k, *_ in pii.scan(text, frozenset(), frozenset())}, text

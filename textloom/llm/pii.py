@@ -48,8 +48,9 @@ EMAIL = re.compile(
 )
 
 #: Cheap signs that a text may hold an item of a kind; without them its patterns aren't tried.
-EMAIL_SIGNS = ("@", "at)", "at ]", "at]", "at )", " dot ")
-PHONE_GATE = re.compile(r"\d(?:[ \xa0.\-/)] ?\(?\d|\d{8})")
+EMAIL_SIGNS = ("@", "at)", "at]", " dot ")
+EMAIL_SPACED = re.compile(r"at\s[\])]")
+PHONE_GATE = re.compile(r"\d(?:[ \xa0.\-/)][ \xa0]?\(?\d|\d{8})")
 ID_GATE = re.compile(r"\d(?:\d{5}|\d\d[- ]\d\d[- ]\d|\d ?\d\d ?\d\d ?[A-D])")
 #: National digits behind a country code; codes not listed have 7 to 12.
 _NATIONAL = {"1": (10, 10), "7": (10, 10), "33": (9, 9), "34": (9, 9), "44": (10, 10), "49": (7, 12)}
@@ -86,7 +87,7 @@ THING = re.compile(r"(?:\bis[bs]n|\bdoi|\bchecksum|\boffset|\bbytes|\bcrc|\borde
 
 _NUM = r"\d{1,4}(?:[ ]?(?:bis|ter)\b|[ ]?[A-Za-z]\b)?"
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w’'\-]*"
-_EN_TYPES = tuple(f" {x}" for x in "Lane Road Rd Street St Close Court Ct Terrace Avenue Ave Crescent Boulevard Blvd Drive Way Square Row Gardens Place".split())
+_EN_TYPES = tuple(f"{gap}{x}" for gap in " \xa0" for x in "Lane Road Rd Street St Close Court Ct Terrace Avenue Ave Crescent Boulevard Blvd Drive Way Square Row Gardens Place".split())
 _EN_TYPE = r"(?:Lane|Road|Rd|Street|St|Close|Court|Ct|Terrace|Avenue|Ave|Crescent|Boulevard|Blvd|Drive|Way|Square|Row|Gardens|Place)"
 _FR_TYPE = r"(?:rue|avenue|quai|place|boulevard|chemin|impasse|allée|cours|route|square|passage)"
 _ES_TYPE = r"(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Camino|Ronda|Travesía)"
@@ -197,7 +198,7 @@ def scan(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple
         taken.append((a, b))
 
     low = text.lower()
-    for m in EMAIL.finditer(text) if any(x in low for x in EMAIL_SIGNS) else ():
+    for m in EMAIL.finditer(text) if any(x in low for x in EMAIL_SIGNS) or EMAIL_SPACED.search(low) else ():
         take(m.start(), m.end(), "email", True)
     digits = any(map(str.isdigit, text))
     if digits:
