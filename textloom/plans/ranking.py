@@ -483,7 +483,7 @@ def _zero(names: list[str]) -> str:
 
 
 _KNOWN = f"{_RECS}{_OWN}{_RANK}, qr AS (SELECT ordinal AS query_id, ordinal AS doc_id FROM corpus_record WHERE ordinal % {QUERY_STEP} = 0)"
-_CATALOG = f"WITH cat AS (SELECT CAST(ordinal AS VARCHAR) AS external_id, left({_line('text')}, 40) AS title, {_line('text')} AS preview FROM corpus_record WHERE {_line('text')} <> ''), res AS (SELECT DISTINCT query_id, CAST(doc_id AS VARCHAR) AS external_id FROM search_result WHERE rank = 1)"
+_CATALOG = f"WITH cat AS (SELECT CAST(ordinal AS VARCHAR) AS external_id, left({_line('text')}, 40) AS title, {_line('text')} AS preview FROM corpus_record WHERE {_line('text')} <> ''), res AS (SELECT DISTINCT query_id, CAST(doc_id AS VARCHAR) AS external_id FROM search_result)"
 _WIKI = f"WITH w AS (SELECT DISTINCT page_id, namespace, title, text, {_line('title')} AS tl, {_line('text')} AS xl FROM dump_article), z AS (SELECT *, CASE WHEN namespace IS NULL OR namespace <> 0 THEN 'namespace' WHEN tl = '' OR xl = '' THEN 'empty' WHEN strlen(CAST(page_id AS VARCHAR)) + 1 + strlen(xl) > 1048576 THEN 'too_large' END AS reason FROM w)"
 
 _URL = "url_encode(replace(title, ' ', '_'))"
@@ -522,7 +522,7 @@ SQL = {
     "index_sizes": _DOCS + _SIZES + """, x AS (SELECT (SELECT count(*) FROM dl) AS d, (SELECT coalesce(sum(strlen(external_id)), 0) FROM dl) AS ids, (SELECT coalesce(sum(24 + strlen(term)), 0) FROM dict) AS t, (SELECT coalesce(sum(raw_bytes + 8), 0) FROM bs) AS raw, (SELECT coalesce(sum(vbyte_bytes + 8), 0) FROM bs) AS vb),
  k AS (SELECT unnest(['raw', 'vbyte']) AS codec), f AS (SELECT unnest(['metadata', 'terms', 'postings', 'lengths', 'offsets', 'identifiers']) AS file)
  SELECT file, codec, CAST(CASE file WHEN 'metadata' THEN 80 WHEN 'terms' THEN 12 + t WHEN 'postings' THEN 12 + CASE codec WHEN 'raw' THEN raw ELSE vb END WHEN 'lengths' THEN 12 + 4 * d WHEN 'offsets' THEN 12 + 8 * (d + 1) ELSE 12 + ids END AS BIGINT) AS bytes FROM f, k, x""",
-    "cursor_advance": _DOCS + _BLOCKS + """, m AS (SELECT max(doc_id) AS m FROM dl), t AS (SELECT term, unnest([1, CAST(floor(m / 2) AS BIGINT), m]) AS target FROM dict, m WHERE df >= 3),
+    "cursor_advance": _DOCS + _BLOCKS + """, m AS (SELECT max(doc_id) AS m FROM dl), t AS (SELECT term, unnest([1, CAST(floor(m / 2) AS BIGINT), m]) AS target FROM dict, m),
  b AS (SELECT term, block_no, max(doc_id) AS last FROM nb GROUP BY ALL),
  k AS (SELECT t.term, target, count(*) FILTER (block_no >= 1 AND last < target) AS blocks_skipped FROM t JOIN b USING (term) GROUP BY ALL),
  h AS (SELECT t.term, target, min(p.doc_id) AS doc_id, arg_min(p.tf, p.doc_id) AS tf FROM t JOIN p ON p.term = t.term AND p.doc_id >= target GROUP BY ALL)
