@@ -489,6 +489,7 @@ def items(found: DataFrame, names: DataFrame) -> DataFrame:
     yields = (F.col("kind") == "name") & F.col("back") | (F.col("kind") == "address") & ~F.col("published")
     columns = ["doc_id", "start", "end", "kind", "found", "form", "published", "beside", "parts", "own", "frame1", "frame2", "frame3"]
     everything = known.select(*columns, "back").unionByName(spans.filter("kind <> 'name'").withColumn("parts", F.lit(0)).withColumn("own", F.lit(False)).select(*columns, "back"))
+    everything = written(everything, "named")
     overlapping = everything.filter(yields).select("doc_id", "start", "end", "kind", cells.alias("cell")).join(forward, F.expr("doc_id = d and cell = c and start < y and x < end"), "left_semi").select("doc_id", "start", "end", "kind").distinct()
     kept = everything.filter(~yields).unionByName(everything.filter(yields).join(overlapping, ["doc_id", "start", "end", "kind"], "left_anti"))
     scored = written(kept.select(*columns), "scored")
