@@ -89,6 +89,36 @@ def test_large_groups_near_the_threshold(spark, direct, window):
     assert S.candidates(texts, 0.5, direct, window).count() == len(want)
 
 
+def test_templates_give_few_candidates(spark):
+    """400 pairs of texts from one template, of which 60 % are the same: candidates grow with the pairs, not with the square of the template."""
+    rng = random.Random(5)
+    template, own = [f"t{i}" for i in range(120)], lambda: [f"w{rng.randrange(20_000)}" for _ in range(80)]
+    rows = []
+    for i in range(400):
+        words = [*template, *own()]
+        rows += [(2 * i, "t", " ".join(words)), (2 * i + 1, "t", " ".join([*words[:150], "edit", *words[151:]]))]
+    df = spark.createDataFrame(rows, "page_id long, title string, text string")
+    texts = S.features(df, "page_id", ["title", "text"], 3, 20, ())
+    assert 400 <= S.candidates(texts, 0.5, 100).count() <= 4_000
+    pairs = {tuple(r) for r in S.near_duplicates(df, "page_id", ["title", "text"], (), 3, 0.5, 20).pairs().collect()}
+    assert pairs == {(2 * i, 2 * i + 1) for i in range(400)}
+
+
+def test_rare_shingles_lose_nothing(spark):
+    """The way of crowded regions alone, on all texts, against all pairs."""
+    rows = [(i, "t", t) for i, _, t in corpus(7, 120)]
+    df = spark.createDataFrame(rows, "page_id long, title string, text string")
+    made = S.features(df, "page_id", ["title", "text"], 3, 20, ()).collect()
+    key = {}
+    for r in made:
+        key.setdefault(bytes(r.digest), r.key)
+    texts = spark.createDataFrame([(r.digest, r.hashes) for r in made if r.hashes is not None], "digest binary, hashes binary").dropDuplicates(["digest"])
+    for block in (S.BLOCK, 20):
+        got = {tuple(sorted((key[bytes(a)], key[bytes(b)]))) for a, b in S.rare_first(texts, 0.5, block=block).collect()}
+        want = {p for p in brute(rows, 3, 0.5, 20)[0] if set(p) <= set(key.values())}
+        assert want <= got and len(want) > 50
+
+
 def test_windows_cut_nowhere(spark):
     rows = [(i, "t", t) for i, _, t in corpus(3, 120)]
     df = spark.createDataFrame(rows, "page_id long, title string, text string")
@@ -116,7 +146,7 @@ def test_components_of_long_paths(spark):
 def test_rows_behind_a_cut_window_stay_with_their_group():
     """A group fills a window and leaves a few rows behind: all of it is grouped again by the same further values."""
     schema = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("further", pa.binary())])
-    row = lambda key, i: {"key": key, "digest": i.to_bytes(16, "big"), "sketch": bytes(S.SKETCH_BYTES), "further": bytes(4 * S.FURTHER)}
+    row = lambda key, i: {"key": key, "digest": i.to_bytes(16, "big"), "sketch": bytes(S.SKETCH_BYTES), "further": bytes(S.FURTHER)}
     rows = [row(1, i) for i in range(5)] + [row(2, i) for i in range(5, 105)] + [row(3, 105), row(3, 106), row(4, 107)]
     batches = [pa.RecordBatch.from_pylist(rows[a:b], schema=schema) for a, b in ((0, 5), (5, 95), (95, 108))]
     found = pa.Table.from_batches(list(S._walk(S.agreement_needed(0.5), 16, 90)(iter(batches)))).to_pylist()

@@ -1,13 +1,21 @@
 """Near-duplicate texts by an LSH forest (problem 3).
 
-Each text is a set of hashed word shingles. 256 min-hashes give 16 orders of four
-values each and a sketch of one bit per value. In each order all texts are sorted by
+Each text is a set of hashed word shingles. 64 min-hashes give 16 orders of four
+values each and a sketch of four bits per value. In each order all texts are sorted by
 their first value (a range partitioning that may cut a frequent value), and texts
-that share it lie side by side. At most ``direct`` of them meet at once; more, or
-those that a partition or window may have cut, are grouped again by their first and
-each of six further values, and there all meet, block by block. No group is cut off:
-a pair at similarity 0.5 shares such a group with about 1 - 2e-5. If their sketches
-agree, candidates are checked exactly against the shingle sets.
+that share it lie side by side. The depth of a region is what its crowd asks for:
+
+* at most ``direct`` texts with the same first value meet at once;
+* more, or those that a partition or window may have cut, are grouped by their first
+  and each of six further values, and meet there, if a group has at most ``direct`` texts;
+* what is crowded there too, such as texts made from one template, meets by rarity: the
+  shingles of these texts are counted, and two texts are candidates if they share one
+  of their rarest shingles and what follows in both can still reach the threshold. That
+  loses no pair at any similarity from the threshold on, and work ends at the template,
+  not at the square of its texts.
+
+A pair at similarity 0.5 is missed by the first two with about 2e-5. Where texts meet
+directly, their sketches filter; candidates are checked exactly against the shingle sets.
 """
 
 from __future__ import annotations
@@ -18,23 +26,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import terms_of
 from textloom.llm.lookalike import consistent, rewriter
-from textloom.llm.pairs import BLOCK, group_pairs
+from textloom.llm.pairs import BLOCK, blocked, expanded, group_pairs
+from textloom.operators.skew import lookup_join
 from textloom.session import written
 
-ORDERS, DEPTH, VALUES = 16, 4, 256
-#: At most this many texts that share a first value meet at once; more share a further value too.
-DIRECT = 500
+ORDERS, DEPTH = 16, 4
+VALUES = ORDERS * DEPTH
+#: At most this many texts of a region meet at once.
+DIRECT = 200
+#: Classes, and texts with links, above this share are joined in place.
+HOT_SHARE = 1e-3
+#: Bytes kept of a shingle's hash: two sets of 500 shingles have one false common shingle with 2e-7.
+KEPT = 5
 #: Further values: the others of the order and of the next one.
 FURTHER = 2 * (DEPTH - 1)
 #: Rows of a sorted order that are looked at at once.
 WINDOW = 100_000
-SKETCH_BYTES = VALUES // 8
+#: Sets that a task remembers to have sent already.
+SEEN = 200_000
+SKETCH_BYTES = VALUES // 2
 
+_UPPER = np.uint64(2**64 - 2 ** (64 - 8 * KEPT))
 _rng = np.random.default_rng(20240)
 _A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
@@ -49,7 +66,7 @@ def _finish(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(words: list[str], size: int, known: dict[str, int]) -> np.ndarray:
-    """The sorted distinct hashes of ``size`` consecutive words; ``known`` keeps hashes of words."""
+    """The sorted distinct hashes of ``size`` consecutive words, of which the upper bytes are kept; ``known`` keeps hashes of words."""
     if len(known) > 500_000:
         known.clear()
     h = np.empty(len(words), np.uint64)
@@ -64,39 +81,54 @@ def shingles(words: list[str], size: int, known: dict[str, int]) -> np.ndarray:
     total = h[:n] * _MIX[0]
     for j in range(1, size):
         total += h[j : j + n] * _MIX[j]
-    return np.unique(_finish(total))
+    return np.unique(_finish(total) & _UPPER)
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """The upper bytes of sorted hashes."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The hashes, the lower bytes 0."""
+    wide = np.zeros((len(raw) // KEPT, 8), np.uint8)
+    wide[:, :KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The 256 min-hashes of 32 bits of a non-empty set."""
+    """The min-hashes of 32 bits of a non-empty set."""
+    hashes = _finish(hashes)
     out = np.full(VALUES, np.uint64(2**64 - 1))
     for at in range(0, len(hashes), 4096):
-        # The hashes are mixed already; of a product, the upper half is as good as a new hash.
+        # Of a product with a mixed hash, the upper half is as good as a new hash.
         part = hashes[at : at + 4096, None] * _A[None, :] + _B[None, :]
         np.minimum(out, part.min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def agreement_needed(threshold: float) -> int:
-    """Bits of a sketch that must agree: four standard deviations below what the threshold gives."""
-    p = (1 + threshold) / 2
+    """Values of a sketch that must agree: four standard deviations below what the threshold gives."""
+    p = threshold + (1 - threshold) / 16
     return int(np.floor(VALUES * p - 4 * np.sqrt(VALUES * p * (1 - p))))
 
 
-FEATURES = "key long, digest binary, n int, hashes binary, prefix binary, sketch binary"
+FEATURES = "key long, digest binary, n int, hashes binary"
 
 
 def features(df: DataFrame, key: str, columns: list[str], size: int, min_words: int, rules: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(key, digest, n, hashes, prefix, sketch) of the texts with at least ``min_words`` words.
+    """(key, digest, n, hashes) of the texts with at least ``min_words`` words.
 
     A text is its ``columns`` in their consistent form, null as empty, with a space between.
+    A set that a task has sent before comes with null hashes, so copies of a text are small rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        seen: set[bytes] = set()
         rewrite = rewriter(rules)
-        names = ["key", "digest", "n", "hashes", "prefix", "sketch"]
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["key", "digest", "n", "hashes"]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
             for k, *texts in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
@@ -104,9 +136,11 @@ def features(df: DataFrame, key: str, columns: list[str], size: int, min_words:
                 if k is None or len(words) < max(min_words, size):
                     continue
                 s = shingles(words, size, known)
-                m = min_hashes(s)
-                raw = s.tobytes()
-                rows.append((k, hashlib.blake2b(raw, digest_size=16).digest(), len(s), raw, m[: ORDERS * DEPTH].tobytes(), np.packbits((m & 1).astype(np.uint8)).tobytes()))
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                rows.append((k, digest, len(s), None if digest in seen else packed(s)))
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(digest)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -117,17 +151,20 @@ _ORDERED = "key long, digest binary, sketch binary, further binary"
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text and order: the order with its first value, and the further values."""
+    """One row per text and order: the order with its first value, the sketch, and a byte of each further value."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        values = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint32).reshape(n, ORDERS, DEPTH)
+        flat = np.stack([min_hashes(unpacked(h)) for h in batch.column("hashes").to_pylist()])
+        values = flat.reshape(n, ORDERS, DEPTH)
         key = (np.arange(ORDERS, dtype=np.int64) << 32)[None, :] | values[:, :, 0].astype(np.int64)
-        further = np.concatenate([values, np.roll(values, -1, axis=1)], axis=2)[:, :, [d for d in range(2 * DEPTH) if d % DEPTH]]
+        further = np.concatenate([values, np.roll(values, -1, axis=1)], axis=2)[:, :, [d for d in range(2 * DEPTH) if d % DEPTH]].astype(np.uint8)
+        nibbles = (flat >> np.uint32(28)).astype(np.uint8)
+        sketch = [x.tobytes() for x in (nibbles[:, ::2] << 4) | nibbles[:, 1::2]]
         rows = pa.array(np.repeat(np.arange(n), ORDERS))
-        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * FURTHER), n * ORDERS, [None, pa.py_buffer(further.tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("digest").take(rows), batch.column("sketch").take(rows), packed], names=["key", "digest", "sketch", "further"])
+        each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FURTHER), n * ORDERS, [None, pa.py_buffer(further.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("digest").take(rows), pa.array(sketch, pa.binary()).take(rows), each], names=["key", "digest", "sketch", "further"])
 
 
 _FOUND = "key long, a binary, b binary"
@@ -147,6 +184,13 @@ def _sketches(table: pa.Table) -> np.ndarray:
     return np.frombuffer(_joined(table.column("sketch"), SKETCH_BYTES), np.uint64).reshape(table.num_rows, SKETCH_BYTES // 8)
 
 
+def _apart(x: np.ndarray) -> np.ndarray:
+    """How many nibbles of the xor of two sketches' words aren't 0."""
+    x = x | (x >> np.uint64(1))
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111))
+
+
 def _agree(left: np.ndarray, right: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of each row of ``left`` and each of ``right`` whose sketches agree."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -155,7 +199,7 @@ def _agree(left: np.ndarray, right: np.ndarray, needed: int) -> tuple[np.ndarray
         part = left[at : at + step]
         differ = np.zeros((len(part), len(right)), np.uint16)
         for w in range(SKETCH_BYTES // 8):
-            differ += np.bitwise_count(part[:, w, None] ^ right[None, :, w])
+            differ += _apart(part[:, w, None] ^ right[None, :, w])
         i, j = np.nonzero(differ <= VALUES - needed)
         found.append((i + at, j))
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
@@ -175,7 +219,7 @@ def _within(head: np.ndarray, size: np.ndarray, sketch: np.ndarray, needed: int)
         step = max(1, 65_536 // len(i))
         for k in range(0, len(at), step):
             a, b = ((at[k : k + step, None] + x[None, :]).ravel() for x in (i, j))
-            keep = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.uint16) <= VALUES - needed
+            keep = _apart(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.uint16) <= VALUES - needed
             found.append((a[keep], b[keep]))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
@@ -202,6 +246,14 @@ def _digest_pairs(table: pa.Table, a: np.ndarray, b: np.ndarray) -> tuple[pa.Arr
     return column(both[:, :2]), column(both[:, 2:])
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """Rows sorted by key and digest without those that repeat the one before: a set that several tasks sent."""
+    digest = np.frombuffer(_joined(table.column("digest"), 16), np.uint64).reshape(-1, 2)
+    keys = np.asarray(table.column("key"))
+    again = np.append(False, (keys[1:] == keys[:-1]) & (digest[1:] == digest[:-1]).all(axis=1))
+    return table.take(pa.array(np.flatnonzero(~again))) if again.any() else table
+
+
 def _walk(needed: int, direct: int, window: int):
     """Candidates (a, b) of rows sorted by key; (key, digest, sketch) for each further value of a text in a group that is large or may be cut."""
 
@@ -213,7 +265,7 @@ def _walk(needed: int, direct: int, window: int):
 
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows, parted
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = _once(pa.Table.from_batches(held).combine_chunks())
             keys = np.asarray(table.column("key"))
             head, size = _heads(keys)
             parted = int(keys[0]) if parted is None else parted
@@ -231,7 +283,7 @@ def _walk(needed: int, direct: int, window: int):
             at = np.flatnonzero(np.repeat(crowded, size))
             if len(at):
                 some = table.take(pa.array(at))
-                further = np.frombuffer(_joined(some.column("further"), 4 * FURTHER), np.uint32).reshape(-1, FURTHER).astype(np.uint64)
+                further = np.frombuffer(_joined(some.column("further"), FURTHER), np.uint8).reshape(-1, FURTHER).astype(np.uint64)
                 key = _finish(_finish(keys[at].astype(np.uint64))[:, None] ^ (further | (np.arange(FURTHER, dtype=np.uint64) << np.uint64(32))[None, :]))
                 each = pa.array(np.repeat(np.arange(len(at)), FURTHER))
                 digest, sketch = (some.column(c).combine_chunks().take(each) for c in ("digest", "sketch"))
@@ -250,7 +302,53 @@ def _walk(needed: int, direct: int, window: int):
 
 
 def _meet(needed: int, window: int):
-    """Candidates (a, b) of rows sorted by (key, i, j): block i of a group meets block j, or itself."""
+    """Candidates (a, b) of rows sorted by (key, digest), all of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            table = _once(pa.Table.from_batches(held).combine_chunks())
+            head, size = _heads(np.asarray(table.column("key")))
+            end = table.num_rows
+            if not last:
+                end = int(head[-1])
+                head, size = head[:-1], size[:-1]
+            rest = table.slice(end)
+            held, rows = rest.to_batches(), rest.num_rows
+            a, b = _digest_pairs(table, *_within(head, size, _sketches(table), needed))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= window:
+                yield from cut(False)
+        if rows:
+            yield from cut(True)
+
+    return run
+
+
+def _positions(threshold: float, window: int):
+    """Candidates (a, b) of rows (h, i, j, own, digest, n, at) sorted by (h, i, j): block i of a shingle's texts meets block j, or itself.
+
+    ``at`` is the place of the shingle among those of its text, rare ones first. Two texts can
+    have no more in common than this shingle and what follows it in the shorter rest.
+    """
+
+    def reach(n: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, 1_000_000 // max(1, len(y)))
+        for k in range(0, len(x), step):
+            a, b = x[k : k + step, None], y[None, :]
+            most = np.minimum(n[a] - at[a], n[b] - at[b])
+            i, j = np.nonzero((most * (1 + threshold) >= threshold * (n[a] + n[b]) - 1e-6) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])))
+            found.append((x[k + i], y[j]))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -259,21 +357,23 @@ def _meet(needed: int, window: int):
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
             table = pa.Table.from_batches(held).combine_chunks()
-            keys, left, right, own = (np.asarray(table.column(c)) for c in ("key", "i", "j", "own"))
-            head, size = _heads(keys, left, right)
+            h, left, right, own, n, at = (np.asarray(table.column(c)) for c in ("h", "i", "j", "own", "n", "at"))
+            n, at = n.astype(np.float64), at.astype(np.float64)
+            head, size = _heads(h, left, right)
             end = table.num_rows
             if not last:
                 end = int(head[-1])
                 head, size = head[:-1], size[:-1]
             rest = table.slice(end)
             held, rows = rest.to_batches(), rest.num_rows
-            sketch = _sketches(table)
-            same = left[head] == right[head]
-            found = [_within(head[same], size[same], sketch, needed)]
-            for h, s in zip(head[~same].tolist(), size[~same].tolist(), strict=True):
-                x, y = (h + np.flatnonzero(own[h : h + s] == side[h]) for side in (left, right))
-                i, j = _agree(sketch[x], sketch[y], needed)
-                found.append((x[i], y[j]))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for s, z in zip(head.tolist(), size.tolist(), strict=True):
+                if left[s] == right[s]:
+                    x = np.arange(s, s + z)
+                    a, b = reach(n, at, x, x)
+                    found.append((a[a < b], b[a < b]))
+                else:
+                    found.append(reach(n, at, *(s + np.flatnonzero(own[s : s + z] == side[s]) for side in (left, right))))
             a, b = _digest_pairs(table, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
@@ -289,26 +389,61 @@ def _meet(needed: int, window: int):
     return run
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text and shingle."""
+    for batch in batches:
+        if batch.num_rows:
+            sets = [unpacked(h) for h in batch.column("hashes").to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(rows), pa.array(np.array([len(x) for x in sets], np.int32)).take(rows), pa.array(np.concatenate(sets).view(np.int64))], names=["digest", "n", "h"])
+
+
+def rare_first(texts: DataFrame, threshold: float, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a, b) of ``texts`` (digest, hashes): all that reach the threshold, by their rarest shingles.
+
+    Two sets with Jaccard similarity t share one of the first n - t * n + 1 shingles of each, in
+    whatever order, if both have the same. Ordered by how many of the texts hold them, rare
+    first, these hold the shingles of a template only behind a text's own.
+    """
+    each = written(texts.select("digest", "hashes").mapInArrow(_each, "digest binary, n int, h long"), "shingles")
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    total = max(1, each.count())
+    counted = lookup_join(each, counts, "h", F.col("df") > F.lit(HOT_SHARE * total))
+    # A text's own shingles lie in one task each; a text is as long as it is.
+    order = Window.partitionBy("digest").orderBy("df", "h")
+    placed = counted.withColumn("at", F.row_number().over(order) - 1).filter((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-6))))
+    cut = blocked(written(placed.select("digest", "n", "h", "at"), "rare"), "h", "digest", min(block, window), 2)
+    met = cut.withColumn("own", F.col("i")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "at")
+    return met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_positions(threshold, window), "a binary, b binary")
+
+
 def candidates(texts: DataFrame, threshold: float, direct: int = DIRECT, window: int = WINDOW) -> DataFrame:
-    """Distinct candidate pairs (a, b) of digests, a < b, of ``texts`` (digest, prefix, sketch), one row per digest."""
-    needed, block = agreement_needed(threshold), min(BLOCK, window)
-    rows = texts.select("digest", "prefix", "sketch").mapInArrow(_orders, _ORDERED)
-    found = rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest").mapInArrow(_walk(needed, direct, window), _FOUND)
-    found = written(found, "candidates")
+    """Distinct candidate pairs (a, b) of digests, a < b, of ``texts`` (digest, hashes); a digest may come several times."""
+    needed = agreement_needed(threshold)
+    texts = texts.filter(F.col("hashes").isNotNull()).select("digest", "hashes")
+    rows = texts.mapInArrow(_orders, _ORDERED)
+    found = written(rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest").mapInArrow(_walk(needed, direct, window), _FOUND), "candidates")
     near = found.filter(F.col("key").isNull()).select("a", "b")
     crowded = found.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("digest"), F.col("b").alias("sketch"))
-    # Groups of several blocks are few; each two blocks meet under their own key.
-    large = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    cut = crowded.join(large, "key", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / F.lit(float(block))), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int"))
-    met = cut.select("key", "digest", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "sketch")
-    dense = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(needed, window), "a binary, b binary")
-    return near.unionByName(dense).distinct()
+    # Sizes are mergeable counts; texts of crowded groups are named where they are, only the others are shuffled by group.
+    sizes = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sized = lookup_join(crowded, sizes, "key", F.col("size") > F.lit(HOT_SHARE * max(1, crowded.count())))
+    fits = F.col("size") <= direct
+    deep = sized.filter(fits & (F.col("size") > 1)).select("key", "digest", "sketch").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_meet(needed, window), "a binary, b binary")
+    many = written(sized.filter(~fits).select("digest").distinct(), "crowded")
+    dense = rare_first(texts.join(many, "digest", "left_semi").dropDuplicates(["digest"]), threshold, window)
+    # Two texts of crowded regions have met by rarity, which loses none: the pairs that their sketches would give aren't needed.
+    also = near.unionByName(deep)
+    for side in ("a", "b"):
+        also = also.join(many.select(F.col("digest").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
+    also = also.filter(F.col("_a").isNull() | F.col("_b").isNull()).select("a", "b")
+    return also.unionByName(dense).distinct()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)]
+        both = [len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)) for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "both"])
 
 
@@ -323,16 +458,18 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: every two keys whose sets are close enough, equal ones included."""
-        m = self.members
-        apart = self.links.join(m.select(F.col("digest").alias("a"), F.col("key").alias("x")), "a").join(m.select(F.col("digest").alias("b"), F.col("key").alias("y")), "b")
-        return apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(group_pairs(m, "digest", "key").select("a", "b"))
+        return expanded(self.links, self.members, "digest", "key").unionByName(group_pairs(self.members, "digest", "key").select("a", "b"))
 
     def groups(self) -> DataFrame:
         """(key, group, links): one row per text with its connected group (its least digest in hex) and the links of its class."""
         both = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = both.groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("links"))
-        label = components(self.links)
-        return self.members.join(label, "digest", "left").join(degree, "digest", "left").select("key", F.hex(F.coalesce("label", "digest")).alias("group"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        known = components(self.links).join(degree, "digest", "full_outer")
+        # Of classes without links nothing is known; a class of many equal texts learns it where its members are.
+        sizes = self.members.groupBy("digest").agg(F.count(F.lit(1)).alias("size"))
+        total = max(1, self.members.count())
+        told = lookup_join(self.members, sizes.join(known, "digest", "left"), "digest", F.col("size") > F.lit(HOT_SHARE * total), "left")
+        return told.select("key", F.hex(F.coalesce("label", "digest")).alias("group"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def near_duplicates(df: DataFrame, key: str, columns: list[str], rules: tuple[tuple[str, str], ...], size: int = 5, threshold: float = 0.8, min_words: int = 0) -> NearDuplicates:
@@ -345,9 +482,9 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], rules: tuple[tu
     """
     made = written(features(df, key, columns, size, min_words, rules), "features")
     members = made.select("key", "digest").distinct()
-    texts = made.dropDuplicates(["digest"]).select("digest", "n", "hashes", "prefix", "sketch")
+    texts = made.filter(F.col("hashes").isNotNull()).select("digest", "n", "hashes")
     found = candidates(texts, threshold)
-    sets = made.select("digest", "n", "hashes").dropDuplicates(["digest"])
+    sets = texts.dropDuplicates(["digest"])
     met = found.join(sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb")), "b")
     # Sets whose sizes alone rule the similarity out aren't sent to Python.
     met = met.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
@@ -364,17 +501,20 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     logarithm of the longest path. Rounds are written, so none is computed again.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    size = max(1, edges.count())
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        hot = F.col("_c") > F.lit(HOT_SHARE * size)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_c")).select("u", F.least("u", "m").alias("m"), "_c")
         # Large star: greater neighbours move to the least one.
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(lookup_join(both, least, "u", hot).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
         # Small star: smaller neighbours, and the node itself, move to the least of them.
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small_least, "u")
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_c"))
+        moved = lookup_join(large, small_least, "u", hot)
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         new = written(small, "edges")
-        same = new.count() == edges.count() and not new.exceptAll(edges).limit(1).count()
+        size, before = max(1, new.count()), size
+        same = size == before and not new.exceptAll(edges).limit(1).count()
         edges = new
         if same:
             break
