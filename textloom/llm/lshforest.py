@@ -38,7 +38,7 @@ from textloom.session import written
 ORDERS, DEPTH = 16, 4
 VALUES = ORDERS * DEPTH
 #: At most this many texts of a region meet at once.
-DIRECT = 200
+DIRECT = 500
 #: Classes, and texts with links, above this share are joined in place.
 HOT_SHARE = 1e-3
 #: Bytes kept of a shingle's hash: two sets of 500 shingles have one false common shingle with 2e-7.
@@ -160,7 +160,7 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = flat.reshape(n, ORDERS, DEPTH)
         key = (np.arange(ORDERS, dtype=np.int64) << 32)[None, :] | values[:, :, 0].astype(np.int64)
         further = np.concatenate([values, np.roll(values, -1, axis=1)], axis=2)[:, :, [d for d in range(2 * DEPTH) if d % DEPTH]].astype(np.uint8)
-        nibbles = (flat >> np.uint32(28)).astype(np.uint8)
+        nibbles = (flat & np.uint32(15)).astype(np.uint8)
         sketch = [x.tobytes() for x in (nibbles[:, ::2] << 4) | nibbles[:, 1::2]]
         rows = pa.array(np.repeat(np.arange(n), ORDERS))
         each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FURTHER), n * ORDERS, [None, pa.py_buffer(further.tobytes())]).cast(pa.binary())
