@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.session import written
 
-#: A key is hot if it holds more than this share of the rows; so at most 1 / HOT_SHARE keys are hot.
+#: A key is hot if it holds more than this share of the counted values; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1e-4
 
 
@@ -75,13 +75,14 @@ def keyed_profile(df: DataFrame, key: str, value: str, fractions: Sequence[float
     # A key has at most 2**bits + 1 bins in a round, so the bins of a key may lie in one array.
     listed = F.array_sort(F.collect_list(F.struct("b", "n"))).alias("bins")
     state = _choose(first.filter("b is not null").groupBy("k").agg(listed).join(ranks, "k"))
-    rounds = 1
+    rounds, values = 1, max(1, totals.agg(F.sum("n_values").alias("n")).first().n or 0) if shift > 0 else 1
     while shift > 0:
         state = written(state, "ranks")
         wide, shift, rounds = shift, shift - bits, rounds + 1
         # Only rows of the bins in question count; a bin asked for by several ranks counts once.
-        asked = state.select("k", F.col("b").alias("p")).distinct()
-        tagged = pairs.filter("v is not null").withColumn("p", F.shiftright("v", wide)).join(asked, ["k", "p"])
+        asked = state.join(totals.select("k", "n_values"), "k").groupBy(F.struct("k", F.col("b").alias("p")).alias("kp")).agg(F.first("n_values").alias("n_values"))
+        # A bin of a hot key may hold nearly all of its different values: they are counted where they are.
+        tagged = lookup_join(pairs.filter("v is not null").withColumn("kp", F.struct("k", F.shiftright("v", wide).alias("p"))), asked, "kp", F.col("n_values") > F.lit(HOT_SHARE * values)).withColumn("p", F.col("kp.p"))
         fine = tagged.groupBy("k", "p", F.shiftright("v", shift).alias("b")).agg(F.sum("n").alias("n"))
         state = _choose(fine.groupBy("k", "p").agg(listed).join(state.select("k", F.col("b").alias("p"), "q", "rank"), ["k", "p"]))
     names = [f"q{f * 100:g}".replace(".", "_") for f in fractions]
