@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import terms_of
 from textloom.llm.lookalike import consistent, rewriter
-from textloom.llm.pairs import BLOCK, blocked, expanded, group_pairs
+from textloom.llm.pairs import BLOCK, blocked, linked_pairs
 from textloom.operators.skew import lookup_join
 from textloom.session import written
 
@@ -458,7 +458,7 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: every two keys whose sets are close enough, equal ones included."""
-        return expanded(self.links, self.members, "digest", "key").unionByName(group_pairs(self.members, "digest", "key").select("a", "b"))
+        return linked_pairs(self.links, self.members, "digest", "key")
 
     def groups(self) -> DataFrame:
         """(key, group, links): one row per text with its connected group (its least digest in hex) and the links of its class."""

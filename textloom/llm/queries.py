@@ -11,10 +11,11 @@ from textloom.llm.encode import with_ids, with_sizes
 from textloom.llm.lookalike import form_keys, learn_rules, with_forms
 from textloom.llm.lshforest import NearDuplicates, near_duplicates
 from textloom.llm.mixing import Mixture, mix
-from textloom.llm.pairs import group_pairs
+from textloom.llm.pairs import HOT_SHARE, across, blocked, group_pairs
 from textloom.llm.pii import personal_items, sanitised
 from textloom.llm.sql import SQL  # noqa: F401 - read by __spark_entry__
 from textloom.llm.topn import top_n
+from textloom.operators.skew import lookup_join
 from textloom.session import spread, table, written
 
 RARE_BELOW, COMMON_ABOVE = 3, 0.2
@@ -28,14 +29,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of articles whose titles or texts look the same but are different strings."""
     articles = _articles(spark, sf_dir)
     keys = written(form_keys(articles, "page_id", ["title", "text"], learn_rules(articles, ["title", "text"])), "forms").distinct()
-    # Forms that stand for several strings; then pairs of strings, then the articles that hold them.
-    several = keys.groupBy("field", "form_key").agg(F.min("string_key").alias("x"), F.max("string_key").alias("y")).filter("x <> y").select("field", "form_key")
-    held = keys.join(several, ["field", "form_key"]).withColumn("g", F.struct("field", "form_key"))
-    held = written(held, "held")
-    apart = group_pairs(held.select("g", "string_key").distinct(), "g", "string_key")
-    side = lambda s, k: held.select("g", F.col("string_key").alias(s), F.col("page_id").alias(k))
-    met = apart.join(side("a", "p"), ["g", "a"]).join(side("b", "q"), ["g", "b"]).filter("p <> q")
-    return met.select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"), F.col("g.field").alias("field")).distinct()
+    # Strings with their forms, each once, whatever number of articles holds them; then forms that stand for several strings.
+    strings = written(keys.groupBy("field", "form_key", "string_key").agg(F.count(F.lit(1)).alias("n")).drop("n"), "strings")
+    several = strings.groupBy("field", "form_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    apart = group_pairs(strings.join(several, ["field", "form_key"], "left_semi").withColumn("g", F.struct("field", "form_key")), "g", "string_key")
+    links = written(apart.select(F.struct("g.field", F.col("a").alias("s")).alias("a"), F.struct("g.field", F.col("b").alias("s")).alias("b")), "links")
+    # Articles are held against the strings of the links; a string of many articles lies in blocks.
+    asked = links.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+    held = keys.select(F.struct("field", F.col("string_key").alias("s")).alias("g"), F.col("page_id").alias("x")).join(asked, "g", "left_semi")
+    met = across(links.withColumn("field", F.col("a.field")), written(blocked(held, "g", "x"), "blocks")).filter("a <> b")
+    return met.select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"), "field").distinct()
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per article and field: its class of strings that look the same, and with how many other strings of it."""
+    articles = _articles(spark, sf_dir)
+    keys = written(form_keys(articles, "page_id", ["title", "text"], learn_rules(articles, ["title", "text"])), "forms").distinct()
+    sizes = keys.groupBy("field", "form_key", "string_key").agg(F.count(F.lit(1)).alias("c")).groupBy("field", "form_key").agg((F.count(F.lit(1)) - 1).alias("links"), F.sum("c").alias("n")).withColumn("k", F.struct("field", "form_key"))
+    told = lookup_join(keys.withColumn("k", F.struct("field", "form_key")), sizes.select("k", "links", "n"), "k", F.col("n") > F.lit(HOT_SHARE * max(1, keys.count())))
+    return told.select("page_id", "field", F.hex("form_key").alias("class"), "links").distinct()
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +164,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
