@@ -27,17 +27,20 @@ TABLES = ("documents", "postings", "terms", "shards", "blocks")
 @dataclass(frozen=True)
 class Index:
     """documents (doc_id, external_id, length), postings (term, doc_id, tf, length, shard), terms (term, df, max_tf,
-    cf), shards (term, shard, df), and the profile its terms were made with."""
+    cf), shards (term, shard, df), the profile its terms were made with, and the row of statistics, if it is written."""
 
     documents: DataFrame
     postings: DataFrame
     terms: DataFrame
     shards: DataFrame
     profile: str
+    facts: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
         """One row: documents, documents_with_terms, total_length, average_length (0 for an index without terms)."""
+        if self.facts is not None:
+            return self.facts
         n = F.count_if(F.col("length") > 0)
         total = F.coalesce(F.sum("length"), F.lit(0)).cast("long")
         return self.documents.agg(F.count(F.lit(1)).alias("documents"), n.alias("documents_with_terms"), total.alias("total_length"), F.when(n > 0, total / n).otherwise(F.lit(0.0)).alias("average_length"))
@@ -63,20 +66,32 @@ def build(corpus: DataFrame, profile: str = "plain", key: str = "doc_id", extern
 
 
 def _derived(documents: DataFrame, postings: DataFrame, profile: str) -> Index:
-    shards = postings.groupBy("term", "shard").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.sum("tf").alias("cf"))
-    dictionary = shards.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.sum("cf").alias("cf"))
-    return Index(documents, postings, dictionary, shards.select("term", "shard", "df"), profile)
+    shards = _shards(postings)
+    return Index(documents, postings, _dictionary(shards), shards.select("term", "shard", "df"), profile)
+
+
+def _shards(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "shard").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.sum("tf").alias("cf"))
+
+
+def _dictionary(shards: DataFrame) -> DataFrame:
+    return shards.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.sum("cf").alias("cf"))
 
 
 def kept(index: Index) -> Index:
-    """The same index with documents and postings written to the shared folder, read by all that follows.
+    """The same index with all its tables written to the shared folder, read by all that follows.
 
-    Lengths are taken from the written postings, so texts are analysed once.
+    Lengths are taken from the written postings, so texts are analysed once; dictionary, shards
+    and statistics are aggregated once.
     """
     postings = written(index.postings, "postings")
     lengths = postings.groupBy("doc_id").agg(F.first("length").alias("length"))
     documents = index.documents.select("doc_id", "external_id").join(lengths, "doc_id", "left").select("doc_id", "external_id", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
-    return _derived(written(documents, "documents"), postings, index.profile)
+    documents = written(documents, "documents")
+    shards = written(_shards(postings), "shards")
+    terms_ = written(_dictionary(shards), "terms")
+    lazy = Index(documents, postings, terms_, shards.select("term", "shard", "df"), index.profile)
+    return Index(documents, postings, terms_, lazy.shards, index.profile, written(lazy.stats, "stats"))
 
 
 def merge(segments: list[Index]) -> Index:

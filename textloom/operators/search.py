@@ -216,25 +216,32 @@ def search_one(index: Index, text: str, k: int = 10, executor: str = "exhaustive
         raise ValueError(f"unknown executor {executor!r}")
     words = sorted(set(analyze(text, index.profile)))
     spark = index.documents.sparkSession
-    part = Index(index.documents, index.postings.filter(F.col("term").isin(words)), index.terms.filter(F.col("term").isin(words)), index.shards.filter(F.col("term").isin(words)), index.profile)
+    part = Index(index.documents, index.postings.filter(F.col("term").isin(words)), index.terms.filter(F.col("term").isin(words)), index.shards.filter(F.col("term").isin(words)), index.profile, index.facts)
     rows = spark.createDataFrame([(0, w) for w in words], "query_id int, term string")
     plan = query_plan(part, rows)
     if executor == "exhaustive":
-        scores = scored(contributions(part, plan))
+        # A row per word of one query: it is sent to the postings, which stay where they are until they are partial sums.
+        met = part.postings.select("term", "doc_id", "tf", "length").join(F.broadcast(plan), "term")
+        scores = scored(met.select("query_id", "term", "doc_id", bm25.score(F.col("idf"), F.col("tf"), F.col("length"), F.col("average")).alias("c")))
     else:
         scores = pruned_parts(part, plan, max(k, 1)).select("query_id", "doc_id", bm25.in_order(F.col("_p")).alias("score"))
     return resolve(index, ranked(scores, k, digits)).drop("query_id")
 
 
+def _asked(index: Index, plan: DataFrame) -> DataFrame:
+    """The postings of a plan's terms alone; they meet by (term, shard), as a term may be frequent."""
+    return index.postings.join(plan.select("term").distinct().join(index.shards.select("term", "shard"), "term"), ["term", "shard"], "left_semi")
+
+
 def exhaustive_work(index: Index, queries: DataFrame, codec: str = "vbyte", key: str = "query_id", text: str = "text") -> DataFrame:
     """The work of exhaustive evaluation per query: query_terms, matched_terms, postings_decoded, candidates, blocks_decoded, bytes.
 
     The rest follows: next_calls = postings_decoded, block_headers_read = blocks_decoded; no
     advances, skips, pivots or threshold changes.
     """
-    asked = prepared(queries, index.profile, key, text)
-    plan = query_plan(index, asked)
-    per_term = block_sizes(index.postings).groupBy("term").agg(F.sum(F.col(f"{codec}_bytes") + HEADER).alias("bytes"))
+    asked = written(prepared(queries, index.profile, key, text), "asked")
+    plan = written(query_plan(index, asked), "plan")
+    per_term = block_sizes(_asked(index, plan)).groupBy("term").agg(F.sum(F.col(f"{codec}_bytes") + HEADER).alias("bytes"))
     work = plan.join(per_term, "term").groupBy("query_id").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("df").alias("postings_decoded"), F.sum(F.ceil(F.col("df") / BLOCK)).alias("blocks_decoded"), F.sum("bytes").alias("bytes"))
     total = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("query_terms"))
     union = contributions(index, plan).select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
@@ -245,7 +252,7 @@ def exhaustive_work(index: Index, queries: DataFrame, codec: str = "vbyte", key:
 
 def pruning_work(index: Index, queries: DataFrame, k: int = 10, key: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, exhaustive, pruned): candidates scored by either executor."""
-    plan = query_plan(index, prepared(queries, index.profile, key, text))
+    plan = written(query_plan(index, prepared(queries, index.profile, key, text)), "plan")
     count = lambda df, c: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(c))
     return count(scored(contributions(index, plan)), "exhaustive").join(count(pruned_parts(index, plan, k), "pruned"), "query_id")
 
@@ -349,9 +356,10 @@ def pivot_work(index: Index, queries: DataFrame, k: int = 10, codec: str = "vbyt
     It is a cost model, not the way to answer queries: a query's lists lie in one task, in
     compressed rows of one (term, block) each.
     """
-    asked = prepared(queries, index.profile, key, text)
-    plan = query_plan(index, asked)
-    blocks = numbered(index.postings).groupBy("term", "block_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("p")).join(block_sizes(index.postings).select("term", "block_no", F.col(f"{codec}_bytes").alias("size")), ["term", "block_no"])
+    asked = written(prepared(queries, index.profile, key, text), "asked")
+    plan = written(query_plan(index, asked), "plan")
+    lists = _asked(index, plan)
+    blocks = numbered(lists).groupBy("term", "block_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("p")).join(block_sizes(lists).select("term", "block_no", F.col(f"{codec}_bytes").alias("size")), ["term", "block_no"])
     total = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_terms"))
     met = total.join(plan.join(blocks, "term"), "query_id", "left")
     id_type = asked.schema["query_id"].dataType.simpleString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def _row(name: str, df: DataFrame, count) -> DataFrame:
 def violations(index: Index) -> DataFrame:
     """(check, violations) for every invariant of documents, dictionary and postings; an empty index has none."""
     d, p, t, s = index.documents, index.postings, index.terms, index.shards
-    dense = d.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_distinct("doc_id").alias("u"))
+    dense = d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("u"))
     n = d.agg(F.count(F.lit(1)).alias("n"))
     per_doc = p.groupBy("doc_id").agg(F.sum("tf").alias("total"), F.max("length").alias("l1"), F.min("length").alias("l2"))
     per_term = p.groupBy("term").agg(F.count(F.lit(1)).alias("df2"), F.max("tf").alias("max2"), F.sum("tf").alias("cf2"))
@@ -52,21 +53,24 @@ def block_violations(index: Index, blocks: DataFrame, codec: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            terms, docs, tfs, bad = [], [], [], []
-            for term, n, last, payload in zip(*(batch.column(c).to_pylist() for c in ("term", "n", "last_doc_id", "payload")), strict=True):
+            docs, tfs, at, bad = [], [], [], []
+            for i, (n, last, payload) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "last_doc_id", "payload")), strict=True)):
                 try:
                     d, f = decode(payload, codec)
                     wrong = len(d) != n or not 1 <= n <= BLOCK or int(d[-1]) != last or bool((d[1:] <= d[:-1]).any()) or bool((f < 1).any())
                 except ValueError:
-                    wrong, d, f = True, [], []
+                    wrong = True
                 if wrong:
-                    terms, docs, tfs, bad = [*terms, term], [*docs, None], [*tfs, None], [*bad, True]
+                    bad.append(i)
                 else:
-                    terms += [term] * len(d)
-                    docs += d.tolist()
-                    tfs += f.tolist()
-                    bad += [False] * len(d)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(docs, pa.int64()), pa.array(tfs, pa.int64()), pa.array(bad, pa.bool_())], names=["term", "doc_id", "tf2", "bad"])
+                    docs.append(d)
+                    tfs.append(f)
+                    at.append(np.full(len(d), i))
+            flat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+            rows = np.concatenate([flat(at), np.array(bad, np.int64)])
+            none, good = pa.nulls(len(bad), pa.int64()), len(rows) - len(bad)
+            columns = [pa.concat_arrays([pa.array(flat(x)), none]) for x in (docs, tfs)]
+            yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(rows)), *columns, pa.array(np.arange(len(rows)) >= good)], names=["term", "doc_id", "tf2", "bad"])
 
     rows = blocks.select("term", "n", "last_doc_id", "payload").mapInArrow(run, "term string, doc_id long, tf2 long, bad boolean")
     order = blocks.withColumn("_b", F.lag("last_doc_id").over(Window.partitionBy("term").orderBy("block_no"))).withColumn("_n", F.lag("block_no").over(Window.partitionBy("term").orderBy("block_no")))

@@ -18,6 +18,7 @@ from textloom.operators.verify import block_violations, verify, violations
 from textloom.plans.general import RAW_LINES
 from textloom.session import shared_dir, spread, table
 from textloom.sources import corpus, wiki
+from textloom.sources.observations import read_qrels
 from textloom.streaming.segments import append_segments, open_segments
 
 QUERY_STEP = 50
@@ -324,6 +325,13 @@ def catalog_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.orphans(_catalog_results(spark, sf_dir), _catalog(spark, sf_dir))
 
 
+def catalog_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog made of the articles as they were delivered, with addresses of three sorts, and what is wrong with its rows."""
+    url = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://wiki.example/"), F.col("page_id").cast("string"))).otherwise("http://wiki.example/")
+    rows = table(spark, sf_dir, "dump_article").select(F.col("page_id").cast("string").alias("external_id"), "title", url.alias("source_url"))
+    return wiki.catalog_errors(rows)
+
+
 # --- evaluation -----------------------------------------------------------------------
 
 
@@ -345,6 +353,26 @@ def trec_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.trec_run(search_batch_top10(spark, sf_dir), "textloom")
 
 
+def qrels_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements of the known items written as lines and read back."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/textloom-qrels-{uuid.uuid4().hex}"
+    rows = record_queries(spark, sf_dir).select(F.concat_ws("\t", F.col("query_id").cast("string"), F.lit("0"), F.col("query_id").cast("string"), F.lit("1")))
+    rows.write.text(path)
+    return read_qrels(spark, path)
+
+
+def build_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of a build that is taken to last two seconds, from the true numbers of documents, terms, postings and bytes."""
+    index = indexed(spark, sf_dir)
+    size = table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text")).alias("input_bytes"))
+    taken = blocks.file_sizes(index.documents, index.terms, blocks.block_sizes(index.postings)).filter("codec = 'vbyte'").agg(F.sum("bytes").alias("index_bytes"))
+    facts = build_report(index).select("documents", "tokens", "postings", F.lit(2.0).alias("seconds"))
+    rates = evaluate.build_rates(facts.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(taken)))
+    return rates.select("documents_per_second", "tokens_per_second", "postings_per_second", F.round("input_mib_per_second", 9).alias("input_mib_per_second"), F.round("bytes_per_posting", 9).alias("bytes_per_posting"))
+
+
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value")
 
@@ -397,6 +425,9 @@ QUERIES = {
     "single_line_preview": single_line_preview,
     "catalog_join": catalog_join,
     "catalog_orphans": catalog_orphans,
+    "catalog_errors": catalog_errors,
+    "qrels_roundtrip": qrels_roundtrip,
+    "build_rates": build_rates,
     "mrr_at_10": mrr_at_10,
     "recall_at_k": recall_at_k,
     "trec_run": trec_run,
@@ -516,6 +547,10 @@ SQL = {
     "search_records": _RECS + _OWN + _RANK + _OUT + "10",
     "search_parts": _PARTS + _OWN + _RANK + _OUT + "10",
     "daat_work": _DOCS + _WORK,
+    "work_reduction": _DOCS + _ASKED + _PLAN + _PART + """, f AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, term) AS i FROM plan) WHERE i = 1),
+ lo AS (SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS k FROM c JOIN f USING (query_id, term)), th AS (SELECT query_id, c AS theta FROM lo WHERE k = 10),
+ g AS (SELECT query_id, doc_id, sum(bound) AS b FROM c JOIN plan USING (query_id, term) GROUP BY ALL)
+ SELECT query_id, count(*) AS exhaustive, count(*) FILTER (theta IS NULL OR b >= theta * (1 - 1e-12)) AS pruned FROM g LEFT JOIN th USING (query_id) GROUP BY query_id""",
     "candidate_union": f"SELECT query_id, candidates, postings_decoded AS postings FROM ({_DOCS}{_WORK})",
     "posting_blocks": _DOCS + _BLOCKS + " SELECT term, block_no, count(*) AS n, max(doc_id) AS last_doc_id FROM nb GROUP BY ALL",
     "block_bytes": _DOCS + _SIZES + " SELECT term, block_no, raw_bytes, vbyte_bytes FROM bs",
@@ -548,5 +583,9 @@ SQL = {
     "mrr_at_10": _KNOWN + " SELECT count(*) AS queries, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM qr LEFT JOIN (SELECT * FROM r WHERE rank <= 10) USING (query_id, doc_id)",
     "recall_at_k": _KNOWN + ", k AS (SELECT unnest([1, 10, 100]) AS k) SELECT k, count(*) AS queries, round(avg(CASE WHEN rank <= k THEN 1 ELSE 0 END), 9) AS recall FROM qr LEFT JOIN (SELECT * FROM r WHERE rank <= 100) USING (query_id, doc_id), k GROUP BY k",
     "trec_run": _DOCS + _ASKED + _RANK + "SELECT query_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || (-rank) || ' textloom' AS line FROM r WHERE rank <= 10",
+    "catalog_errors": "WITH c AS (SELECT CAST(page_id AS VARCHAR) AS external_id, title, page_id % 3 = 2 AS bad FROM dump_article) SELECT external_id, CASE WHEN coalesce(external_id, '') = '' THEN 'no id' WHEN coalesce(title, '') = '' THEN 'no title' ELSE 'address' END AS error FROM c WHERE coalesce(external_id, '') = '' OR coalesce(title, '') = '' OR bad UNION ALL SELECT external_id, 'repeated id' FROM c GROUP BY external_id HAVING count(*) > 1",
+    "qrels_roundtrip": f"SELECT CAST(ordinal AS VARCHAR) AS query_id, CAST(ordinal AS VARCHAR) AS doc_id, 1 AS rel FROM corpus_record WHERE ordinal % {QUERY_STEP} = 0",
+    "build_rates": _DOCS + _SIZES + """, x AS (SELECT (SELECT count(*) FROM dl) AS d, (SELECT coalesce(sum(strlen(external_id)), 0) FROM dl) AS ids, (SELECT coalesce(sum(24 + strlen(term)), 0) FROM dict) AS t, (SELECT coalesce(sum(vbyte_bytes + 8), 0) FROM bs) AS vb, (SELECT count(*) FROM p) AS np, (SELECT sum(strlen(text)) FROM documents) AS ib)
+ SELECT documents / 2 AS documents_per_second, total / 2 AS tokens_per_second, np / 2 AS postings_per_second, round(ib / 1048576 / 2, 9) AS input_mib_per_second, round((80 + 12 + t + 12 + vb + 12 + 4 * d + 12 + 8 * (d + 1) + 12 + ids) / np, 9) AS bytes_per_posting FROM st, x""",
     "latency_percentiles": "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY event_type",
 }

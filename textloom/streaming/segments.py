@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators.index import Index, _derived, build
+from textloom.operators.index import Index, _derived, build, kept
 
 
 def append_segments(stream: DataFrame, path: str, checkpoint: str, profile: str = "plain") -> StreamingQuery:
@@ -18,7 +18,8 @@ def append_segments(stream: DataFrame, path: str, checkpoint: str, profile: str
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        index = build(batch, profile)
+        # Written once, so that a batch's texts are analysed once for both tables.
+        index = kept(build(batch, profile))
         index.documents.write.mode("overwrite").parquet(f"{path}/documents/segment={number}")
         index.postings.write.mode("overwrite").parquet(f"{path}/postings/segment={number}")
 
