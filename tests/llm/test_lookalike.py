@@ -73,3 +73,9 @@ def test_group_pairs(spark, block):
     df = spark.createDataFrame(rows, "g string, x long")
     got = sorted(tuple(r) for r in group_pairs(df, "g", "x", block).collect())
     assert got == sorted([("big", i, j) for i in range(60) for j in range(i + 1, 60)] + [("two", 4, 5)])
+
+
+@pytest.mark.parametrize(("theirs", "ours"), [("ᎪᏞᎳᎠ", "ALWD"), ("ꓐꓳꓫ", "BOX"), ("ⲟⲣⲥ", "opc"), ("ᴄᴏᴡ", "cow"), ("ѡ", "w")])
+def test_letters_of_other_alphabets(theirs, ours):
+    rewrite = L.rewriter(tuple(sorted(L.rewriting({c: 9 for c in ours}).items())))
+    assert L.consistent(theirs, rewrite) == L.consistent(ours, rewrite) == ours

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of other alphabets and the Latin letters they are drawn like (fixed values, by the Unicode consortium's
-#: published confusable characters; both strings are read in parallel).
+#: published confusable characters; both strings are read in parallel): Greek, Cyrillic, Armenian, phonetic, Cherokee,
+#: Lisu, Coptic, small capitals.
 ALIKE = (
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
     ("αινορυϲϳ", "aivopucj"),
@@ -31,6 +32,10 @@ ALIKE = (
     ("аеѕіјһорсухүѵԁԛԝӏ", "aesijhopcyxyvdqwl"),
     ("ՕՍՏօսոհցզ", "OUSounhgq"),
     ("ɡɑ", "ga"),
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "HIKMNOoPpCcTYX"),
+    ("ᴄᴏᴜᴠᴡᴢꜱѡ", "couvwzsw"),
 )
 #: Hyphens (fixed values): hyphen, non-breaking, Armenian, Canadian, Mongolian, hyphen bullet, small and full-width.
 HYPHENS = "-‐‑֊᐀᠆⁃﹣－"
