@@ -1,21 +1,26 @@
 """Near-duplicate texts by an LSH forest (problem 3).
 
 Each text is a set of hashed word shingles. 64 min-hashes give 16 orders of four
-values each and a sketch of four bits per value. In each order all texts are sorted by
+values each and a sketch of a byte per value. In each order all texts are sorted by
 their first value (a range partitioning that may cut a frequent value), and texts
 that share it lie side by side. The depth of a region is what its crowd asks for:
 
 * at most ``direct`` texts with the same first value meet at once;
-* more, or those that a partition or window may have cut, are grouped by their first
-  and each of six further values, and meet there, if a group has at most ``direct`` texts;
-* what is crowded there too, such as texts made from one template, meets by rarity: the
+* more are grouped by their first and each of six further values, and meet there, if a group
+  has at most ``direct`` texts; where it has more, by six more values, down to the fifth level.
+  That takes place where they lie side by side, or, if a partition or window may have cut
+  them, after a shuffle by first and further value;
+* what stays crowded, such as texts made from one template, meets by rarity: the
   shingles of these texts are counted, and two texts are candidates if they share one
   of their rarest shingles and what follows in both can still reach the threshold. That
   loses no pair at any similarity from the threshold on, and work ends at the template,
   not at the square of its texts.
 
-A pair at similarity 0.5 is missed by the first two with about 2e-5. Where texts meet
+A pair at similarity 0.5 is missed by the first two with 1.5e-5 where nothing is crowded and 4e-5 where all levels are. Where texts meet
 directly, their sketches filter; candidates are checked exactly against the shingle sets.
+
+The disk holds the sets once. Four orders are shuffled at a time, the sets that are asked for
+a quarter at a time, and shuffle files and tables go when the step that needed them has ended.
 """
 
 from __future__ import annotations
@@ -26,14 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import terms_of
 from textloom.llm.lookalike import consistent, rewriter
 from textloom.llm.pairs import BLOCK, blocked, linked_pairs
 from textloom.operators.skew import lookup_join
-from textloom.session import written
+from textloom.session import discard, shuffles_dropped, stored, tables, written
 
 ORDERS, DEPTH = 16, 4
 VALUES = ORDERS * DEPTH
@@ -45,11 +50,15 @@ HOT_SHARE = 1e-3
 KEPT = 5
 #: Further values: the others of the order and of the next one.
 FURTHER = 2 * (DEPTH - 1)
+#: Levels of a crowded region: the first value, and as many further ones as are asked for below.
+LEVELS = 5
+#: Orders that are shuffled at a time, and parts of the sets that are shuffled one after the other.
+TOGETHER, PARTS = 4, 4
 #: Rows of a sorted order that are looked at at once.
 WINDOW = 100_000
 #: Sets that a task remembers to have sent already.
 SEEN = 200_000
-SKETCH_BYTES = VALUES // 2
+SKETCH_BYTES = VALUES
 
 _UPPER = np.uint64(2**64 - 2 ** (64 - 8 * KEPT))
 _rng = np.random.default_rng(20240)
@@ -109,26 +118,27 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 def agreement_needed(threshold: float) -> int:
     """Values of a sketch that must agree: four standard deviations below what the threshold gives."""
-    p = threshold + (1 - threshold) / 16
+    p = threshold + (1 - threshold) / 256
     return int(np.floor(VALUES * p - 4 * np.sqrt(VALUES * p * (1 - p))))
 
 
-FEATURES = "key long, digest binary, n int, hashes binary"
+FEATURES = "key long, digest binary, n int, hashes binary, first array<int>, sketch binary"
 
 
 def features(df: DataFrame, key: str, columns: list[str], size: int, min_words: int, rules: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(key, digest, n, hashes) of the texts with at least ``min_words`` words.
+    """(key, digest, n, hashes, first, sketch) of the texts with at least ``min_words`` words.
 
     A text is its ``columns`` in their consistent form, null as empty, with a space between.
-    A set that a task has sent before comes with null hashes, so copies of a text are small rows.
+    ``first`` has the first value of each order, ``sketch`` the lowest byte of each value.
+    A set that a task has sent before comes with these and the hashes null, so copies of a text are small rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         seen: set[bytes] = set()
         rewrite = rewriter(rules)
-        names = ["key", "digest", "n", "hashes"]
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["key", "digest", "n", "hashes", "first", "sketch"]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
             for k, *texts in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
@@ -137,7 +147,11 @@ def features(df: DataFrame, key: str, columns: list[str], size: int, min_words:
                     continue
                 s = shingles(words, size, known)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((k, digest, len(s), None if digest in seen else packed(s)))
+                if digest in seen:
+                    rows.append((k, digest, len(s), None, None, None))
+                else:
+                    values = min_hashes(s)
+                    rows.append((k, digest, len(s), packed(s), values[::DEPTH].view(np.int32), values.astype(np.uint8).tobytes()))
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(digest)
@@ -147,24 +161,11 @@ def features(df: DataFrame, key: str, columns: list[str], size: int, min_words:
     return df.select(F.col(key).cast("long").alias(key), *columns).mapInArrow(run, FEATURES)
 
 
-_ORDERED = "key long, digest binary, sketch binary, further binary"
-
-
-def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text and order: the order with its first value, the sketch, and a byte of each further value."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        flat = np.stack([min_hashes(unpacked(h)) for h in batch.column("hashes").to_pylist()])
-        values = flat.reshape(n, ORDERS, DEPTH)
-        key = (np.arange(ORDERS, dtype=np.int64) << 32)[None, :] | values[:, :, 0].astype(np.int64)
-        further = np.concatenate([values, np.roll(values, -1, axis=1)], axis=2)[:, :, [d for d in range(2 * DEPTH) if d % DEPTH]].astype(np.uint8)
-        nibbles = (flat & np.uint32(15)).astype(np.uint8)
-        sketch = [x.tobytes() for x in (nibbles[:, ::2] << 4) | nibbles[:, 1::2]]
-        rows = pa.array(np.repeat(np.arange(n), ORDERS))
-        each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FURTHER), n * ORDERS, [None, pa.py_buffer(further.tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("digest").take(rows), pa.array(sketch, pa.binary()).take(rows), each], names=["key", "digest", "sketch", "further"])
+def _orders(texts: DataFrame, start: int) -> DataFrame:
+    """(key, digest, sketch): one row per text and order from ``start`` on, ``TOGETHER`` of them; the key is the order with its first value."""
+    each = texts.select("digest", "sketch", F.posexplode(F.slice("first", start + 1, TOGETHER)).alias("order", "value"))
+    key = F.shiftleft((F.col("order") + start).cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(2**32 - 1)))
+    return each.select(key.alias("key"), "digest", "sketch")
 
 
 _FOUND = "key long, a binary, b binary"
@@ -185,10 +186,9 @@ def _sketches(table: pa.Table) -> np.ndarray:
 
 
 def _apart(x: np.ndarray) -> np.ndarray:
-    """How many nibbles of the xor of two sketches' words aren't 0."""
-    x = x | (x >> np.uint64(1))
-    x |= x >> np.uint64(2)
-    return np.bitwise_count(x & np.uint64(0x1111111111111111))
+    """How many bytes of the xor of two sketches' words aren't 0."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return np.bitwise_count((((x & low) + low) | x) & ~low)
 
 
 def _agree(left: np.ndarray, right: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +254,54 @@ def _once(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.flatnonzero(~again))) if again.any() else table
 
 
+#: By level and order: where the further values lie in a sketch. The first value is level 1; each level has values of its own.
+_FURTHER_AT = {level: np.array([[(o + 2 * (level - 2) + n) % ORDERS * DEPTH + d for n in (0, 1) for d in range(1, DEPTH)] for o in range(ORDERS)]) for level in range(2, LEVELS + 1)}
+
+
+def _below(sketch: np.ndarray, rows: np.ndarray, group: np.ndarray, order: np.ndarray, level: int, needed: int, direct: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Groups of ``rows``, sorted by ``group``, by each further value: index pairs that meet there or on the levels below, and rows that stay crowded.
+
+    A group is a template's if most of it stays together: if, by more than two of its six further values,
+    as many rows lie in crowded groups of over a third of it. Going deeper wouldn't part it.
+    """
+    own, size = sketch[rows], _heads(group)[1]
+    place = np.repeat(np.arange(len(size)), size)
+    kept = np.zeros(len(size))
+    pairs, on = [], []
+    for d in range(FURTHER):
+        further = own.view(np.uint8)[np.arange(len(rows)), _FURTHER_AT[level][order, d]]
+        by = np.lexsort((further, place))
+        start, count = _heads(place[by], further[by])
+        fits = count <= direct
+        a, b = _within(start[fits], count[fits], own[by], needed)
+        pairs.append((rows[by[a]], rows[by[b]]))
+        full = np.repeat(~fits, count)
+        kept += np.bincount(place[by[np.repeat(~fits & (count * 3 > size[place[by[start]]]), count)]], minlength=len(size))
+        on.append((by[full], np.repeat(np.arange(len(start)), count)[full]))
+    template = (kept > 2 * size) | (level == LEVELS)
+    crowded = []
+    for by, parted in on:
+        stays = template[place[by]]
+        crowded.append(rows[by[stays]])
+        by, parted = by[~stays], parted[~stays]
+        if len(by):
+            more, left = _below(sketch, rows[by], parted, order[by], level + 1, needed, direct)
+            pairs += more
+            crowded += left
+    return pairs, crowded
+
+
+def _further_key(keys: np.ndarray, further: np.ndarray, d: int) -> np.ndarray:
+    """The key of a group by first and further value, the order in its lowest bits."""
+    mixed = _finish(_finish(keys.astype(np.uint64)) ^ (further.astype(np.uint64) | np.uint64(d << 32)))
+    return ((mixed & ~np.uint64(ORDERS - 1)) | (keys >> 32).astype(np.uint64)).view(np.int64)
+
+
 def _walk(needed: int, direct: int, window: int):
-    """Candidates (a, b) of rows sorted by key; (key, digest, sketch) for each further value of a text in a group that is large or may be cut."""
+    """Candidates (a, b) of rows sorted by key; (key, digest, sketch) for each further value of a text in a group that may be cut, or that stays crowded.
+
+    The sketch is null where it stays crowded: nothing is to meet there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -269,25 +315,30 @@ def _walk(needed: int, direct: int, window: int):
             keys = np.asarray(table.column("key"))
             head, size = _heads(keys)
             parted = int(keys[0]) if parted is None else parted
-            crowded = (size > direct) | (keys[head] == parted)
+            cut_off = keys[head] == parted
             if last or len(head) == 1:
-                crowded[-1] = True
+                cut_off[-1] = True
                 parted, end = int(keys[-1]), len(keys)
             else:
                 end = int(head[-1])
-                head, size, crowded = head[:-1], size[:-1], crowded[:-1]
+                head, size, cut_off = head[:-1], size[:-1], cut_off[:-1]
+            crowded = (size > direct) | cut_off
             rest = table.slice(end)
             held, rows = rest.to_batches(), rest.num_rows
-            a, b = _digest_pairs(table, *_within(head[~crowded], size[~crowded], _sketches(table), needed))
+            sketch = _sketches(table)
+            found = [_within(head[~crowded], size[~crowded], sketch, needed)]
+            digest, told = (table.column(c).combine_chunks() for c in ("digest", "sketch"))
+            full, apart = (np.flatnonzero(np.repeat(c, size)) for c in (crowded & ~cut_off, cut_off))
+            if len(full):
+                pairs, left = _below(sketch, full, keys[full], keys[full] >> 32, 2, needed, direct)
+                found += pairs
+                full = np.unique(np.concatenate(left))
+            for at, told_of in ((full, None), (apart, told)):
+                for d in range(FURTHER if len(at) else 0):
+                    key = _further_key(keys[at], sketch.view(np.uint8)[at, _FURTHER_AT[2][keys[at] >> 32, d]], d)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), digest.take(pa.array(at)), told_of.take(pa.array(at)) if told_of is not None else pa.nulls(len(at), pa.binary())], names=["key", "a", "b"])
+            a, b = _digest_pairs(table, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), a, b], names=["key", "a", "b"])
-            at = np.flatnonzero(np.repeat(crowded, size))
-            if len(at):
-                some = table.take(pa.array(at))
-                further = np.frombuffer(_joined(some.column("further"), FURTHER), np.uint8).reshape(-1, FURTHER).astype(np.uint64)
-                key = _finish(_finish(keys[at].astype(np.uint64))[:, None] ^ (further | (np.arange(FURTHER, dtype=np.uint64) << np.uint64(32))[None, :]))
-                each = pa.array(np.repeat(np.arange(len(at)), FURTHER))
-                digest, sketch = (some.column(c).combine_chunks().take(each) for c in ("digest", "sketch"))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), digest, sketch], names=["key", "a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -301,8 +352,8 @@ def _walk(needed: int, direct: int, window: int):
     return run
 
 
-def _meet(needed: int, window: int):
-    """Candidates (a, b) of rows sorted by (key, digest), all of a group."""
+def _meet(needed: int, direct: int, window: int):
+    """Candidates (a, b) of rows sorted by (key, digest), all of a group; (a, null) for a text of a group that stays crowded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -318,8 +369,19 @@ def _meet(needed: int, window: int):
                 head, size = head[:-1], size[:-1]
             rest = table.slice(end)
             held, rows = rest.to_batches(), rest.num_rows
-            a, b = _digest_pairs(table, *_within(head, size, _sketches(table), needed))
+            sketch, crowded = _sketches(table), size > direct
+            found, left = [_within(head[~crowded], size[~crowded], sketch, needed)], [np.zeros(0, np.int64)]
+            full = np.flatnonzero(np.repeat(crowded, size))
+            if len(full):
+                keys = np.asarray(table.column("key"))[full]
+                pairs, still = _below(sketch, full, keys, keys & (ORDERS - 1), 3, needed, direct)
+                found += pairs
+                left += still
+            a, b = _digest_pairs(table, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+            left = np.unique(np.concatenate(left))
+            if len(left):
+                yield pa.RecordBatch.from_arrays([table.column("digest").combine_chunks().take(pa.array(left)), pa.nulls(len(left), pa.binary())], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -418,23 +480,52 @@ def rare_first(texts: DataFrame, threshold: float, window: int = WINDOW, block:
     return met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_positions(threshold, window), "a binary, b binary")
 
 
+def part_of(digest: str) -> Column:
+    """The part of the sets that a digest lies in."""
+    return F.pmod(F.xxhash64(digest), F.lit(PARTS)).cast("int")
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame, name: str, path: str | None = None) -> str:
+    """The folder of a table (digest, n, hashes): of ``texts``, those whose digest is in ``wanted`` (digest), each once.
+
+    The sets are shuffled part by part. ``path`` is that of ``texts``, if its parts aren't needed any more afterwards.
+    """
+    texts = texts if "part" in texts.columns else texts.withColumn("part", part_of("digest"))
+    to = None
+    for i in range(PARTS):
+        own = texts.filter((F.col("part") == i) & F.col("hashes").isNotNull()).select("digest", "n", "hashes")
+        some = own.join(wanted.select("digest").filter(part_of("digest") == i), "digest", "left_semi").dropDuplicates(["digest"])
+        to = stored(some, name, to=to)
+        if path:
+            discard(texts.sparkSession, f"{path}/part={i}")
+    return to
+
+
 def candidates(texts: DataFrame, threshold: float, direct: int = DIRECT, window: int = WINDOW) -> DataFrame:
-    """Distinct candidate pairs (a, b) of digests, a < b, of ``texts`` (digest, hashes); a digest may come several times."""
-    needed = agreement_needed(threshold)
-    texts = texts.filter(F.col("hashes").isNotNull()).select("digest", "hashes")
-    rows = texts.mapInArrow(_orders, _ORDERED)
-    found = written(rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest").mapInArrow(_walk(needed, direct, window), _FOUND), "candidates")
+    """Distinct candidate pairs (a, b) of digests, a < b, of ``texts`` (:func:`features`); a digest may come several times."""
+    needed, spark = agreement_needed(threshold), texts.sparkSession
+    drawn = texts.filter(F.col("first").isNotNull()).select("digest", "first", "sketch")
+    to = None
+    for start in range(0, ORDERS, TOGETHER):
+        rows = _orders(drawn, start).repartitionByRange("key", "digest").sortWithinPartitions("key", "digest")
+        to = stored(rows.mapInArrow(_walk(needed, direct, window), _FOUND), "candidates", to=to)
+    found = spark.read.schema(_FOUND).parquet(to)
     near = found.filter(F.col("key").isNull()).select("a", "b")
     crowded = found.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("digest"), F.col("b").alias("sketch"))
-    # Sizes are mergeable counts; texts of crowded groups are named where they are, only the others are shuffled by group.
-    sizes = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    sized = lookup_join(crowded, sizes, "key", F.col("size") > F.lit(HOT_SHARE * max(1, crowded.count())))
-    fits = F.col("size") <= direct
-    deep = sized.filter(fits & (F.col("size") > 1)).select("key", "digest", "sketch").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_meet(needed, window), "a binary, b binary")
-    many = written(sized.filter(~fits).select("digest").distinct(), "crowded")
-    dense = rare_first(texts.join(many, "digest", "left_semi").dropDuplicates(["digest"]), threshold, window)
+    # Sizes are mergeable counts; texts of groups that no task holds are named where they are, only the others are shuffled by group.
+    cut = crowded.filter(F.col("sketch").isNotNull())
+    sizes = cut.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sized = lookup_join(cut, sizes, "key", F.col("size") > F.lit(HOT_SHARE * max(1, cut.count())))
+    fits = F.col("size") <= window
+    met = sized.filter(fits & (F.col("size") > 1)).select("key", "digest", "sketch").repartition("key").sortWithinPartitions("key", "digest")
+    deep = written(met.mapInArrow(_meet(needed, direct, window), "a binary, b binary"), "deep")
+    left = crowded.filter(F.col("sketch").isNull()).select("digest").unionByName(sized.filter(~fits).select("digest"))
+    many = written(left.unionByName(deep.filter(F.col("b").isNull()).select(F.col("a").alias("digest"))).distinct(), "crowded")
+    also = near.unionByName(deep.filter(F.col("b").isNotNull()))
+    if many.isEmpty():
+        return also.distinct()
+    dense = rare_first(spark.read.schema("digest binary, n int, hashes binary").parquet(sets_of(texts, many, "dense")), threshold, window)
     # Two texts of crowded regions have met by rarity, which loses none: the pairs that their sketches would give aren't needed.
-    also = near.unionByName(deep)
     for side in ("a", "b"):
         also = also.join(many.select(F.col("digest").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
     also = also.filter(F.col("_a").isNull() | F.col("_b").isNull()).select("a", "b")
@@ -480,17 +571,27 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], rules: tuple[tu
     compared once. Similarity is checked exactly; what the forest may miss is measured in the
     tests against all pairs.
     """
-    made = written(features(df, key, columns, size, min_words, rules), "features")
-    members = made.select("key", "digest").distinct()
-    texts = made.filter(F.col("hashes").isNotNull()).select("digest", "n", "hashes")
-    found = candidates(texts, threshold)
-    sets = texts.dropDuplicates(["digest"])
-    met = found.join(sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb")), "b")
-    # Sets whose sizes alone rule the similarity out aren't sent to Python.
-    met = met.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-    checked = met.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_shared, "a binary, b binary, na int, nb int, both int")
-    links = checked.filter(F.col("both") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-    return NearDuplicates(members, written(links, "links"))
+    spark = df.sparkSession
+    with shuffles_dropped(spark):
+        made = features(df, key, columns, size, min_words, rules).withColumn("part", part_of("digest"))
+        path = stored(made, "features", by="part")
+        texts = spark.read.schema(made.schema).parquet(path)
+        members = written(texts.select("key", "digest").distinct(), "members")
+        before = tables()
+        found = stored(candidates(texts, threshold), "found")
+        for done in tables() - before - {found}:
+            discard(spark, done)
+        found = spark.read.schema("a binary, b binary").parquet(found)
+        kept = sets_of(texts, written(found.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "asked"), "sets", path)
+        sets = spark.read.schema("digest binary, n int, hashes binary").parquet(kept)
+        met = found.join(sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb")), "b")
+        # Sets whose sizes alone rule the similarity out aren't sent to Python.
+        met = met.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
+        checked = met.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_shared, "a binary, b binary, na int, nb int, both int")
+        links = written(checked.filter(F.col("both") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+        for done in (path, kept):
+            discard(spark, done)
+    return NearDuplicates(members, links)
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
