@@ -42,3 +42,8 @@ def both(monkeypatch, run):
 def test_exhaustive_work(monkeypatch, many, asked, codec):
     groups, joins = both(monkeypatch, lambda: search.exhaustive_work(many, asked, codec))
     assert groups == joins and len(groups) == 8
+
+
+def test_candidate_union(monkeypatch, many, asked):
+    groups, joins = both(monkeypatch, lambda: search.union_work(many, asked))
+    assert groups == joins and len(groups) == 8
