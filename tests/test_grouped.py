@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from textloom.operators import search
 from textloom.operators.index import build, kept
+from textloom.plans import ranking
 
 TEXTS = ["common", "rare tie", "common alpha beta gamma", "alpha beta gamma delta common rare", "word17 common", "word3 word4 word5", "nothing", "", None, "common alpha beta gamma tie"]
 
@@ -47,3 +50,13 @@ def test_exhaustive_work(monkeypatch, many, asked, codec):
 def test_candidate_union(monkeypatch, many, asked):
     groups, joins = both(monkeypatch, lambda: search.union_work(many, asked))
     assert groups == joins and len(groups) == 8
+
+
+def test_observed_work_sums_the_groups(monkeypatch, spark, many, asked):
+    """The observations are made of the groups; their sums are those of the work."""
+    monkeypatch.setattr(search, "contributions", refuse)
+    monkeypatch.setattr(ranking, "indexed", lambda *_: many)
+    monkeypatch.setattr(ranking, "record_queries", lambda *_: asked)
+    r = entry.queries()["observed_work"](spark, "").first()
+    want = search.exhaustive_work(many, asked).agg(*[F.sum(c) for c in ("query_terms", "matched_terms", "postings_decoded", "blocks_decoded", "bytes", "candidates")]).first()
+    assert tuple(r)[5:] == tuple(want) and r.queries == 8
