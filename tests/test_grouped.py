@@ -60,3 +60,10 @@ def test_observed_work_sums_the_groups(monkeypatch, spark, many, asked):
     r = entry.queries()["observed_work"](spark, "").first()
     want = search.exhaustive_work(many, asked).agg(*[F.sum(c) for c in ("query_terms", "matched_terms", "postings_decoded", "blocks_decoded", "bytes", "candidates")]).first()
     assert tuple(r)[5:] == tuple(want) and r.queries == 8
+
+
+@pytest.mark.parametrize("k", [1, 10, 1000])
+def test_search_gives_the_bits_of_the_joins(monkeypatch, many, asked, k):
+    """Thresholds drop nothing: dense and sparse terms, ties, queries with fewer results than k."""
+    groups, joins = both(monkeypatch, lambda: search.search(many, asked, k))
+    assert groups == joins and len(groups) > k
