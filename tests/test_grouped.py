@@ -67,3 +67,8 @@ def test_search_gives_the_bits_of_the_joins(monkeypatch, many, asked, k):
     """Thresholds drop nothing: dense and sparse terms, ties, queries with fewer results than k."""
     groups, joins = both(monkeypatch, lambda: search.search(many, asked, k))
     assert groups == joins and len(groups) > k
+
+
+def test_pruning_work(monkeypatch, many, asked):
+    groups, joins = both(monkeypatch, lambda: search.pruning_work(many, asked, 5))
+    assert groups == joins and len(groups) == 8 - 1 and any(p < e for _, e, p in groups)
