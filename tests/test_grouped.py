@@ -72,3 +72,12 @@ def test_search_gives_the_bits_of_the_joins(monkeypatch, many, asked, k):
 def test_pruning_work(monkeypatch, many, asked):
     groups, joins = both(monkeypatch, lambda: search.pruning_work(many, asked, 5))
     assert groups == joins and len(groups) == 8 - 1 and any(p < e for _, e, p in groups)
+
+
+def test_results_written_in_parts(monkeypatch, many, asked):
+    """Batches of many results are answered queries by queries; nothing is lost between the parts."""
+    whole = sorted(map(tuple, search.search(many, asked, 1000, digits=9).collect()))
+    monkeypatch.setattr(search, "dense_best", refuse)
+    monkeypatch.setattr(search, "MOST_ROWS", 3000)
+    parts = sorted(map(tuple, search.search(many, asked, 1000, digits=9).collect()))
+    assert parts == whole and len({r[0] for r in parts}) == 7
