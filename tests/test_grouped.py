@@ -81,3 +81,15 @@ def test_results_written_in_parts(monkeypatch, many, asked):
     monkeypatch.setattr(search, "MOST_ROWS", 3000)
     parts = sorted(map(tuple, search.search(many, asked, 1000, digits=9).collect()))
     assert parts == whole and len({r[0] for r in parts}) == 7
+
+
+@pytest.mark.parametrize("name", ["mrr_at_10"])
+def test_quality_of_known_items(monkeypatch, spark, many, name):
+    """No task gives k rows for each query and group of documents, and the figures are those of the joins."""
+    own = many.postings.filter("doc_id % 50 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.concat_ws(" ", F.collect_list("term")).alias("text"))
+    monkeypatch.setattr(ranking, "indexed", lambda *_: many)
+    monkeypatch.setattr(ranking, "record_queries", lambda *_: own)
+    monkeypatch.setattr(search, "dense_best", refuse)
+    groups = sorted(map(tuple, entry.queries()[name](spark, "").collect()))
+    monkeypatch.setattr(search, "MOST_PLAN", 0)
+    assert groups == sorted(map(tuple, entry.queries()[name](spark, "").collect())) and 0 < groups[-1][-1] <= 1
