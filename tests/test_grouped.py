@@ -83,7 +83,7 @@ def test_results_written_in_parts(monkeypatch, many, asked):
     assert parts == whole and len({r[0] for r in parts}) == 7
 
 
-@pytest.mark.parametrize("name", ["mrr_at_10"])
+@pytest.mark.parametrize("name", ["mrr_at_10", "recall_at_k"])
 def test_quality_of_known_items(monkeypatch, spark, many, name):
     """No task gives k rows for each query and group of documents, and the figures are those of the joins."""
     own = many.postings.filter("doc_id % 50 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.concat_ws(" ", F.collect_list("term")).alias("text"))
